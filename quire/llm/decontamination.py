@@ -35,7 +35,7 @@ def tokens(text: Column) -> Column:
     """Words of the text in lower case; slots start with the placeholder of their type and end with their value."""
     t = F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT, "   ")
     t = F.regexp_replace(t, _NAME, NAME + "$1")
-    t = F.when(t.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(t, _UNIT, f" {UNIT}u$1 "), "([0-9]+)", f" {NUMBER}$1 ")).otherwise(t)
+    t = F.when(text.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(t, _UNIT, f" {UNIT}u$1 "), "([0-9]+)", f" {NUMBER}$1 ")).otherwise(t)
     t = F.regexp_replace(F.lower(t), r"[^a-z0-9\x01-\x03\x{80}-\x{10FFFF}%$]+", " ")
     t = F.regexp_replace(F.trim(t), r"(?<![\x03u])[%$]", "")
     return F.filter(F.split(t, " "), lambda w: w != "")
@@ -71,13 +71,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
     items = _with_windows(benchmark.filter("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")), ["item_id"])
     # the item's windows with their place and slots
     slots = lambda i: F.filter(F.slice(F.col("words"), i + 1, WINDOW), lambda w: F.ascii(w) < 4)
-    placed = items.select("item_id", "words", F.posexplode("windows").alias("q", "w")).select("item_id", "q", "w", slots(F.col("q")).alias("theirs"))
+    placed = items.select("item_id", "words", F.posexplode_outer("windows").alias("q", "w")).select("item_id", "q", "w", slots(F.col("q")).alias("theirs"))
     placed = written(placed, "placed")
     sizes = placed.groupBy("item_id").agg(F.countDistinct("w").alias("n_windows"), F.max(F.size("theirs")).alias("n_slots"))
     index = placed.groupBy("w", "item_id").agg(F.lit(1).alias("_")).drop("_")
     few = placed.count() <= MOST_BROADCAST
     sent = F.broadcast if few else (lambda df: df)
-    seen = _with_windows(docs.select(*_key(), "text"), ["doc_id", "_text"]).select("doc_id", "_text", F.explode("windows").alias("w"))
+    seen = _with_windows(docs.select(*_key(), "text"), ["doc_id", "_text"]).select("doc_id", "_text", F.explode_outer("windows").alias("w"))
     hits = seen.join(sent(index), "w")
     found = hits.groupBy("doc_id", "_text", "item_id").agg(F.countDistinct("w").alias("n_matched")).join(sent(sizes), "item_id")
     found = found.withColumn("containment", F.col("n_matched") / F.col("n_windows")).filter(F.col("containment") >= containment)
@@ -96,7 +96,7 @@ def _checked(docs: DataFrame, found: DataFrame, placed: DataFrame, sent) -> Data
     mine = docs.select(*_key(), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_t")), "left_semi")
     rows = _with_windows(mine, ["doc_id", "_text"])
     ours = F.transform("windows", lambda w, i: F.struct(w.alias("w"), i.alias("p"), F.filter(F.slice(F.col("words"), i + 1, WINDOW), lambda x: F.ascii(x) < 4).alias("ours")))
-    seen = rows.select("doc_id", "_text", F.explode(ours).alias("x")).select("doc_id", "_text", "x.*")
+    seen = rows.select("doc_id", "_text", F.explode_outer(ours).alias("x")).select("doc_id", "_text", "x.*")
     met = seen.join(sent(placed.filter(F.size("theirs") > 0)), "w").filter(F.size("ours") == F.size("theirs"))
     met = met.select("doc_id", "_text", "item_id", (F.col("p") - F.col("q")).alias("shift"), F.explode(F.arrays_zip("ours", "theirs")).alias("s"))
     values = met.groupBy("doc_id", "_text", "item_id", "shift", F.col("s.theirs").alias("theirs")).agg(F.countDistinct("s.ours").alias("n"))

@@ -82,10 +82,14 @@ def base_scan(docs: DataFrame) -> DataFrame:
     norm = F.trim(F.regexp_replace(ascii_lower(F.col("text")), BREAKS, " "))
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text", F.length("text")).alias("_text"), norm.alias("norm"))
     rows = rows.withColumn("n", F.when(F.col("norm") == "", 0).otherwise(F.length(F.regexp_replace("norm", "[^ ]+", "")) + 1))
-    words = F.split("norm", " ")
     none = F.array().cast("array<int>")
-    # a document without the word is not split at all
-    found = [F.when(F.col("norm").contains(p), _places(words, F.col("n"), p)).otherwise(none).alias(label) for p, label in PHRASES]
+    # a document without a phrase isn't split at all
+    some = F.col("norm").contains(PHRASES[0][0])
+    for p, _ in PHRASES[1:]:
+        some = some | F.col("norm").contains(p)
+    rows = rows.select("doc_id", "_text", "n", F.when(some, F.split("norm", " ")).alias("words"))
+    words = F.col("words")
+    found = [F.when(words.isNotNull(), _places(words, F.col("n"), p)).otherwise(none).alias(label) for p, label in PHRASES]
     rows = rows.select("doc_id", "_text", "n", F.struct(*found).alias("at"))
     places = F.concat(*(F.col("at")[label] for _, label in PHRASES))
     base = F.filter(F.array(*(F.when(F.size(F.col("at")[label]) > 0, label) for _, label in PHRASES)), lambda x: x.isNotNull())
@@ -103,9 +107,14 @@ def base_scan(docs: DataFrame) -> DataFrame:
 def _blocks(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """(doc_id, _text, size, toks): blocks that have a word of the vocabulary; size counts all different words of the block."""
     known = F.split(F.lit(" ".join(sorted(vocabulary))), " ")
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text", F.length("text")).alias("_text"), F.explode(F.split(_lines(F.col("text")), "\n")).alias("line"))
-    sets = rows.select("doc_id", "_text", F.array_distinct(F.split(F.trim("line"), " ")).alias("w"))
-    return sets.select("doc_id", "_text", F.size("w").alias("size"), F.array_intersect("w", known).alias("toks")).filter(F.size("toks") > 0)
+    def block(line: Column) -> Column:
+        w = F.array_distinct(F.split(F.trim(line), " "))
+        return F.struct(F.size(w).alias("size"), F.array_intersect(w, known).alias("toks"))
+
+    # computed within the row and exploded after, so that no filter is pushed below and computed twice
+    blocks = F.explode_outer(F.transform(F.split(_lines(F.col("text")), "\n"), block))
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text", F.length("text")).alias("_text"), blocks.alias("x"))
+    return rows.select("doc_id", "_text", "x.size", "x.toks").filter(F.size("toks") > 0)
 
 
 def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -180,7 +189,7 @@ docs AS (
 words AS (
   SELECT doc_id, low, list_filter(string_split(regexp_replace(low, '{BREAKS}', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM docs),
 base AS (
-  SELECT doc_id, len(w) AS n_words, CASE WHEN contains(low, 'license') THEN {places} ELSE [] END AS at FROM words),
+  SELECT doc_id, len(w) AS n_words, CASE WHEN contains(low, 'license') THEN {places} ELSE [] END AS found FROM words),
 blocks AS (
   SELECT doc_id, string_split(regexp_replace(line, '{BREAKS}', ' ', 'g'), ' ') AS b
   FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM docs)),
@@ -190,11 +199,11 @@ met AS (
   FROM blocks, templates),
 own AS (
   SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS c FROM met WHERE o >= ceil(t * {THRESHOLD} - 1e-9) GROUP BY doc_id)
-SELECT doc_id, n_words, len(at) AS n_base, list_min(list_transform(at, lambda x: x.i)) AS first_word,
-       list_max(list_transform(at, lambda x: x.i)) AS last_word,
-       array_to_string(list_sort(list_distinct(list_transform(at, lambda x: x.l))), ',') AS base_labels,
-       array_to_string(list_sort(list_distinct(list_transform(at, lambda x: x.l) || coalesce(labels, []))), ',') AS labels,
-       CASE WHEN len(at) > 0 THEN 1.0::DOUBLE ELSE coalesce(c, 0)::DOUBLE END AS score
+SELECT doc_id, n_words, len(found) AS n_base, list_min(list_transform(found, lambda x: x.i)) AS first_word,
+       list_max(list_transform(found, lambda x: x.i)) AS last_word,
+       array_to_string(list_sort(list_distinct(list_transform(found, lambda x: x.l))), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_transform(found, lambda x: x.l) || coalesce(labels, []))), ',') AS labels,
+       CASE WHEN len(found) > 0 THEN 1.0::DOUBLE ELSE coalesce(c, 0)::DOUBLE END AS score
 FROM base LEFT JOIN own USING (doc_id)
 """
 

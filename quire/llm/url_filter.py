@@ -54,8 +54,7 @@ def key_of(host: Column, path: Column) -> Column:
 
 
 def _positions(key: Column, level: int, bits: int) -> list[Column]:
-    one, two = F.xxhash64(key, F.lit(2 * level)), F.xxhash64(key, F.lit(2 * level + 1))
-    return [F.pmod(one + two * F.lit(i), F.lit(bits).cast("long")) for i in range(HASHES)]
+    return [F.pmod(F.xxhash64(key, F.lit(HASHES * level + i)), F.lit(bits).cast("long")) for i in range(HASHES)]
 
 
 def _filter(keys: DataFrame, level: int, n: int) -> tuple[bytes, int]:
@@ -73,7 +72,7 @@ def _contains(key: Column, level: int, data: bytes, bits: int) -> Column:
     lit, hit = F.lit(data), None
     for p in _positions(key, level, bits):
         byte = F.conv(F.hex(F.substring(lit, (F.shiftright(p, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        bit = F.expr("1 = 1") & (byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (p % 8).cast("int"))) != 0)
+        bit = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (p % 8).cast("int"))) != 0
         hit = bit if hit is None else hit & bit
     return hit
 
