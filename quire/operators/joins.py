@@ -18,13 +18,13 @@ def jn_doc_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", "source").join(pages(spark, sf_dir).select("doc_id", "page_id", "page_number"), "doc_id")
 
 
-@query("jn_page_mt", f"{V} SELECT d.doc_id, d.source, p.page_id, upper(p.markdown) AS text FROM p JOIN d ON p.doc_id = d.doc_id")
+@query("jn_page_mt", f"{V} SELECT d.doc_id, d.source, p.page_id, upper(replace(p.markdown, 'ß', 'ss')) AS text FROM p JOIN d ON p.doc_id = d.doc_id")
 def jn_page_mt(spark: SparkSession, sf_dir: str) -> DataFrame:
     mt = page_mt(spark, sf_dir).select("page_id", "text")
     return mt.join(pages(spark, sf_dir).select("page_id", "doc_id"), "page_id").join(documents(spark, sf_dir).select("doc_id", "source"), "doc_id")
 
 
-@query("jn_block_mt", f"{V} SELECT d.doc_id, d.source, p.page_id, b.block_id, upper(b.text) AS text FROM b JOIN p USING (page_id) JOIN d ON d.doc_id = p.doc_id")
+@query("jn_block_mt", f"{V} SELECT d.doc_id, d.source, p.page_id, b.block_id, upper(replace(b.text, 'ß', 'ss')) AS text FROM b JOIN p USING (page_id) JOIN d ON d.doc_id = p.doc_id")
 def jn_block_mt(spark: SparkSession, sf_dir: str) -> DataFrame:
     mt, b = block_mt(spark, sf_dir).select("block_id", "text"), blocks(spark, sf_dir).select("block_id", "page_id")
     up = pages(spark, sf_dir).select("page_id", "doc_id").join(documents(spark, sf_dir).select("doc_id", "source"), "doc_id")

@@ -41,7 +41,7 @@ def dml_replace_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replaced(old, new, ["page_id"])
 
 
-@query("dml_replace_mt", f"{V} SELECT page_id, 'en' AS lang, CASE WHEN page_number = 2 THEN 'again' ELSE upper(markdown) END AS text FROM p UNION ALL SELECT page_id, 'fr', 'neuf' FROM p WHERE page_number = 3")
+@query("dml_replace_mt", f"{V} SELECT page_id, 'en' AS lang, CASE WHEN page_number = 2 THEN 'again' ELSE upper(replace(markdown, 'ß', 'ss')) END AS text FROM p UNION ALL SELECT page_id, 'fr', 'neuf' FROM p WHERE page_number = 3")
 def dml_replace_mt(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = page_mt(spark, sf_dir).select("page_id", "lang", "text")
     p = pages(spark, sf_dir)

@@ -17,7 +17,7 @@ def top_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", "doc_id", "page_number").orderBy(F.desc("doc_id"), "page_number").limit(50)
 
 
-@query("top_block_mt", f"{V} SELECT block_id, doc_id, page_number, upper(text) AS text FROM b ORDER BY doc_id DESC, page_number, block_id LIMIT 50")
+@query("top_block_mt", f"{V} SELECT block_id, doc_id, page_number, upper(replace(text, 'ß', 'ss')) AS text FROM b ORDER BY doc_id DESC, page_number, block_id LIMIT 50")
 def top_block_mt(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = blocks(spark, sf_dir).select("block_id", "doc_id", "page_number", F.upper("text").alias("text"))
     return b.orderBy(F.desc("doc_id"), "page_number", "block_id").limit(50)

@@ -28,7 +28,7 @@ def classify(pages_: DataFrame) -> DataFrame:
     return typed.join(docs, "doc_id")
 
 
-_SIDE = "(page_id * 13) % 60"
+_SIDE = "((page_id * 13) % 60)"
 
 
 @query(

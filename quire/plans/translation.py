@@ -71,13 +71,13 @@ def unified(marked: DataFrame, blocks_: DataFrame, translate: Callable[[Column],
     return found.join(blocks_, ["page_id", "k"]).select("block_id", "text")
 
 
-@query("mt_unified", f"{V} SELECT block_id, trim(regexp_replace(upper(text), '\\s+', ' ', 'g')) AS text FROM b WHERE lang <> 'en' AND trim(text) <> ''")
+@query("mt_unified", f"{V} SELECT block_id, trim(regexp_replace(upper(replace(text, 'ß', 'ss')), '\\s+', ' ', 'g')) AS text FROM b WHERE lang <> 'en' AND trim(text) <> ''")
 def mt_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = blocks(spark, sf_dir).select("block_id", "page_id", (F.col("block_index") % 10).alias("k"))
     return unified(marked_pages(spark, sf_dir), own, translator(Stub, 10**6))
 
 
-@query("mt_legacy", f"{V} SELECT block_id, upper(trim(text)) AS text FROM b WHERE lang <> 'en' AND trim(text) <> '' AND length(trim(text)) <= 1575")
+@query("mt_legacy", f"{V} SELECT block_id, upper(replace(trim(text), 'ß', 'ss')) AS text FROM b WHERE lang <> 'en' AND trim(text) <> '' AND length(trim(text)) <= 1575")
 def mt_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block by block; here the blocks that are one chunk."""
     b = blocks(spark, sf_dir).filter("lang <> 'en'").withColumn("t", X.strip(F.col("text"))).filter("t <> '' and length(t) <= 1575")
