@@ -99,6 +99,21 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
 
 
+def without(docs: DataFrame, keys: list[Column], drop: DataFrame, once: bool = False) -> DataFrame:
+    """docs without the rows whose keys are in drop, compared null-safely; once: of rows with equal keys one stays.
+
+    The row travels as one struct, so its columns may have any names.
+    """
+    names = [f"k{i}" for i in range(len(keys))]
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(k.alias(n) for k, n in zip(keys, names, strict=True)))
+    gone = drop.toDF(*(f"d{i}" for i in range(len(keys)))).distinct()
+    same = F.lit(True)
+    for i, n in enumerate(names):
+        same = same & F.col(n).eqNullSafe(F.col(f"d{i}"))
+    kept = packed.join(gone, same, "left_anti")
+    return (kept.dropDuplicates(names) if once else kept).select("row.*")
+
+
 def numbered(rows: DataFrame, classes: list[str], order: list[str], name: str, buckets: int = NUMBERING_BUCKETS) -> DataFrame:
     """rows with a long `name` that counts each class from 0 without gaps.
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import table, written
+from quire.llm.common import table, without, written
 
 WINDOW = 5
 CONTAINMENT = 0.8
@@ -112,9 +112,8 @@ def _checked(docs: DataFrame, found: DataFrame, placed: DataFrame, sent) -> Data
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without contaminated rows, all columns as they were."""
-    bad = contaminated(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_d"), F.col("_text").alias("_t")).distinct()
-    marked = docs.withColumn("_hash", F.xxhash64("text", F.length("text")))
-    return marked.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_t")), "left_anti").drop("_hash")
+    bad = contaminated(docs, benchmark).filter("contaminated").select("doc_id", "_text")
+    return without(docs, [F.col("doc_id").cast("long"), F.xxhash64("text", F.length("text"))], bad)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

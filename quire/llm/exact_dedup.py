@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import ascii_lower, attach, table, written
+from quire.llm.common import ascii_lower, attach, table, without, written
 
 #: Entries in a bucket before it is split; at 100 bytes an entry, a bucket is about 25 MB.
 CAPACITY = 250_000
@@ -134,18 +134,10 @@ def _shaped(met: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_groups drops, all columns as they were; of rows with equal text and doc_id one stays."""
-    drop = exact_groups(docs).filter("not kept").select("doc_id", "text_sha256")
-    doubled = docs.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    return _without(docs, drop, doubled)
-
-
-def _without(docs: DataFrame, drop: DataFrame, doubled: DataFrame) -> DataFrame:
-    marked = docs.withColumn("_sha", F.sha2(ascii_lower(F.col("text")), 256))
-    drop = drop.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_s")).distinct()
-    kept = marked.join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_s")), "left_anti")
-    if doubled.isEmpty():
-        return kept.drop("_sha")
-    return kept.dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    groups = written(exact_groups(docs), "decisions")
+    doubled = not groups.filter("kept").groupBy("text_sha256").count().filter("count > 1").isEmpty()
+    keys = [F.col("doc_id").cast("long"), F.sha2(ascii_lower(F.col("text")), 256)]
+    return without(docs, keys, groups.filter("not kept").select("doc_id", "text_sha256"), once=doubled)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import attach, batch_rows, table, written
+from quire.llm.common import attach, batch_rows, table, without, written
 from quire.llm.components import components
 
 SEED = 42
@@ -267,8 +267,8 @@ def verified_pairs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     one = attach(pairs.withColumnRenamed("x", "doc_id"), sets, "doc_id", "n").withColumnsRenamed({"doc_id": "x", "shingles": "sx"}).drop("n")
     both = attach(written(one, "one").withColumnRenamed("y", "doc_id"), sets, "doc_id", "n").withColumnsRenamed({"doc_id": "y", "shingles": "sy"}).drop("n")
     shared = F.size(F.array_intersect("sx", "sy"))
-    jaccard = shared / (F.size("sx") + F.size("sy") - shared)
-    return both.select("x", "y", F.coalesce(jaccard, F.lit(1.0)).alias("jaccard")).filter(F.col("jaccard") >= similarity)
+    union = F.size("sx") + F.size("sy") - shared
+    return both.select("x", "y", F.when(union > 0, shared / union).otherwise(1.0).alias("jaccard")).filter(F.col("jaccard") >= similarity)
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -277,5 +277,4 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Groups are what verified pairs connect. Rows without a doc_id stay; rows with equal doc_ids stay or go together.
     """
     groups = components(written(verified_pairs(docs, similarity).select(F.col("x").alias("a"), F.col("y").alias("b")), "near"))
-    drop = groups.filter("id <> component").select(F.col("id").alias("_id"))
-    return docs.join(drop, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    return without(docs, [F.col("doc_id").cast("long")], groups.filter("id <> component").select("id"))
