@@ -1,6 +1,6 @@
 """Toxicity by maximum-scoring segments.
 
-Tokens are a word and its first PREFIX letters, as inflected and compound words share their stem. A token's score is its
+Tokens are a word and its first letters (PREFIXES tells how many), as inflected and compound words share their stem. A token's score is its
 log-odds between toxic and clean documents with an informative Dirichlet prior: pseudo-counts in proportion to the
 token's share in both, which shrink rare tokens to zero. Tokens with a z-score of LEAST_Z or more are evidence; any
 other word has a small negative score, the log-ratio of the shares of words without evidence. So scores have a
@@ -9,7 +9,7 @@ negative mean on clean text, as segment statistics require.
 A linear-time scan finds all maximal segments of a text (the disjoint runs that no extension or cut improves). A
 segment of score S in n words has the normalised score lambda * S - ln(K n); lambda and K are those of the extreme-value
 distribution of the best segment of clean texts. Segments over LEAST_BITS are significant. A document's evidence is the
-sum of its significant segments, and a logistic curve fitted on held-in rows makes it a probability.
+logarithm of the sum of its significant segments, and a logistic curve fitted on held-in rows makes it a probability.
 """
 
 from __future__ import annotations
@@ -26,14 +26,16 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import batch_rows, table, written
 
-#: Labelled rows that the model is fitted on at most, about; drawn by a hash of doc_id. Half go to the curve.
+#: Labelled rows that the model is fitted on at most, about; drawn by a hash of doc_id. Two of five go to the curve.
 SAMPLE = 30_000
-PREFIX = 5
-PRIOR = 500.0
-LEAST_Z = 3.5
+PREFIXES = (5, 4)
+PRIOR = 300.0
+LEAST_Z = 3.4
 #: Documents of the sample in which a token occurs at least.
-LEAST_DOCS = 4
+LEAST_DOCS = 8
 LEAST_BITS = 0.0
+#: A word without evidence scores this or less, so that segments end between distant hits.
+LEAST_DRIFT = -0.05
 PREDICTED = 0.7
 _WORD = re.compile(r"\w+")
 
@@ -43,13 +45,13 @@ def words_of(text: str | None) -> list[str]:
 
 
 def features(word: str) -> tuple[str, ...]:
-    """The word, and its stem marked by a star."""
-    return (word, word[:PREFIX] + "*") if len(word) > PREFIX else (word,)
+    """The word, and its stems marked by a star."""
+    return (word, *(word[:n] + "*" for n in PREFIXES if len(word) > n))
 
 
 @dataclass
 class Model:
-    scores: dict[str, float]
+    scores: dict[str, tuple[float, float]]  # z-score and log-odds
     drift: float = -0.05
     scale: float = 1.0
     log_k: float = 0.0
@@ -58,9 +60,9 @@ class Model:
     cache: dict[str, float] = field(default_factory=dict, repr=False)
 
     def of(self, word: str) -> float:
-        """The best evidence of its features, else the drift."""
+        """Log-odds of the feature that is known best (by z-score), else the drift."""
         if (s := self.cache.get(word)) is None:
-            s = max((self.scores[f] for f in features(word) if f in self.scores), default=self.drift)
+            s = max((self.scores[f] for f in features(word) if f in self.scores), default=(0.0, self.drift))[1]
             if len(self.cache) < 200_000:
                 self.cache[word] = s
         return s
@@ -106,7 +108,12 @@ def passages(text: str | None, model: Model) -> tuple[int, float, list[tuple[int
 
 
 def evidence(text: str | None, model: Model) -> float:
-    return sum(math.log1p(x[2]) for x in passages(text, model)[2])
+    return total(passages(text, model)[2])
+
+
+def total(found: list[tuple[int, int, float]]) -> float:
+    """Evidence of significant segments together, on a scale on which the curve is about straight."""
+    return math.log1p(sum(x[2] for x in found))
 
 
 def probability(value: float, model: Model) -> float:
@@ -119,7 +126,7 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     known = written(known.filter(~_held_out(F.col("doc_id"))), "known")
     rate = min(1.0, sample / max(1, known.count()))
     drawn = known.withColumn("draw", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000))).filter(F.col("draw") < int(rate * 1_000_000))
-    drawn = drawn.select(F.col("doc_id").alias("_id"), "toxic", (F.col("draw") % 2).alias("part"))
+    drawn = drawn.select(F.col("doc_id").alias("_id"), "toxic", (F.col("draw") % 5 >= 3).cast("int").alias("part"))
     return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).drop("_id")
 
 
@@ -156,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # a token that is no likelier in toxic documents can't be evidence; the rest is bounded by the sample
     likely = summed.filter((F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") * n_clean > F.col("clean") * n_toxic * 2)).toPandas().sort_values("token")
     delta, z = log_odds(likely["toxic"].to_numpy(float), likely["clean"].to_numpy(float), n_toxic, n_clean)
-    model = Model({t: float(d) for t, d, s in zip(likely["token"], delta, z, strict=True) if s >= LEAST_Z})
+    model = Model({t: (float(s), float(d)) for t, d, s in zip(likely["token"], delta, z, strict=True) if s >= LEAST_Z})
     return _calibrated(model, rows.filter("part = 1"))
 
 
@@ -174,7 +181,7 @@ def _calibrated(model: Model, rows: DataFrame) -> Model:
     share = rows.select("text", "toxic").mapInPandas(hits, "toxic int, n long, hits long").groupBy("toxic").agg(F.sum("n"), F.sum("hits")).collect()
     rate = {r[0]: (r[2] + 0.5) / (r[1] + 1.0) for r in share}
     p, q = rate.get(0, 1e-4), rate.get(1, 1e-2)
-    model.drift = min(-0.02, math.log((1 - q) / (1 - p)))
+    model.drift = min(LEAST_DRIFT, math.log((1 - q) / (1 - p)))
     model.cache.clear()
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,7 +236,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             for text in b["text"]:
                 found = passages(text, model)[2]
                 top = max(found, key=lambda x: x[2], default=(None, None))
-                score = probability(sum(math.log1p(x[2]) for x in found), model)
+                score = probability(total(found), model)
                 out.append((score, int(score >= PREDICTED), len(found), top[0], top[1] - 1 if found else None))
             frame = pd.DataFrame(out, columns=["score", "predicted", "n_passages", "first_word", "last_word"])
             for k in ("first_word", "last_word"):
