@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 MODULES = [
-    "quire.operators.scans", "quire.operators.filters", "quire.operators.joins", "quire.operators.aggregates", "quire.operators.ordering",
+    "quire.operators.scans", "quire.sources.rendering", "quire.operators.filters", "quire.operators.joins", "quire.operators.aggregates", "quire.operators.ordering",
     "quire.operators.scalars", "quire.operators.search", "quire.operators.ingest", "quire.operators.mutations", "quire.plans.stages",
     "quire.plans.translation", "quire.streaming.ingest", "quire.operators.baselines",
 ]

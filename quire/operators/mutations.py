@@ -76,3 +76,17 @@ def pending_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(done, "page_id", "left_anti").select("page_id")
 
 
+
+
+@query("snk_queue", f"{V} SELECT doc_id AS job_id, 'queued' AS status, doc_id % 4 AS mode FROM d WHERE doc_id % 4 <> 1")
+def snk_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs to be enqueued: documents whose ingest schedules work. Appending them to the job table is the trigger."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), F.lit("queued").alias("status"), (F.col("doc_id") % 4).alias("mode"))
+    return d.filter("mode <> 1")
+
+
+@query("src_queue", f"{V} SELECT doc_id AS job_id, doc_id % 4 AS mode FROM d WHERE doc_id % 4 <> 1 AND doc_id % 3 <> 0")
+def src_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs that a consumer still has to run: queued, without a row in the log of finished ones."""
+    done = table(spark, sf_dir, "documents").filter("doc_id % 3 = 0").select(F.col("doc_id").alias("job_id"))
+    return snk_queue(spark, sf_dir).select("job_id", "mode").join(done, "job_id", "left_anti")

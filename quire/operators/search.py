@@ -140,3 +140,21 @@ def search_tokens(index: DataFrame, key: str, q: str) -> DataFrame:
 @query("fts_index", f"{V} SELECT block_id FROM b WHERE {_where('text')}")
 def fts_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_tokens(token_table(blocks(spark, sf_dir), "block_id", "text"), "block_id", TERMS)
+
+
+def escaped(c):
+    """Text as it may stand in HTML."""
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        c = F.replace(c, F.lit(char), F.lit(entity))
+    return c
+
+
+def page_html(df: DataFrame, title: str, body: str) -> DataFrame:
+    """df with an `html` column: title and body escaped, as markup from documents must not be rendered."""
+    doc = F.concat(F.lit("<!DOCTYPE html><h1>"), escaped(F.col(title).cast("string")), F.lit("</h1><pre>"), escaped(F.coalesce(body, F.lit(""))), F.lit("</pre>"))
+    return df.withColumn("html", doc)
+
+
+@query("snk_html", f"{V} SELECT page_id, '<!DOCTYPE html><h1>' || page_id || '</h1><pre>' || replace(replace(replace(replace(replace(markdown, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') || '</pre>' AS html FROM p")
+def snk_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_html(pages(spark, sf_dir), "page_id", "markdown").select("page_id", "html")
