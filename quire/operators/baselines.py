@@ -81,3 +81,19 @@ def base_except(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("base_date_trunc", "SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1")
 def base_date_trunc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "base_range_join",
+    "SELECT a.event_id, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts < a.ts AND b.ts >= a.ts - INTERVAL 1 DAY WHERE a.event_type = 'purchase' GROUP BY a.event_id",
+)
+def base_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user in the day before a purchase. Times are dealt to days, so a join key holds one day of one user.
+
+    An event of a day can precede purchases of that day or the next, so it is sent to both; the exact range is tested after.
+    """
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", F.unix_date(F.to_date("ts")).alias("day"))
+    a = e.filter("event_type = 'purchase'").select("event_id", "user_id", "day", F.col("ts").alias("at"))
+    b = e.select("user_id", "ts", F.explode(F.array("day", F.col("day") + 1)).alias("day"))
+    met = a.join(b, ["user_id", "day"]).filter((F.col("ts") < F.col("at")) & (F.col("ts") >= F.col("at") - F.expr("INTERVAL 1 DAY")))
+    return met.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))

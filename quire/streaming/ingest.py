@@ -38,3 +38,26 @@ def run_available(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_ingest", "SELECT sha256(text) AS content_hash FROM documents GROUP BY text")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_available(spark, sf_dir).select("content_hash")
+
+
+@query("base_stream_tumbling", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def base_stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A capability of Spark, not of the blueprint: counts by day of an event stream.
+
+    Every batch's changed windows are written under the batch's number, which a repeated batch overwrites; the last
+    version of a window counts.
+    """
+    import uuid
+
+    base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    counts = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day").alias("w"), "event_type").count()
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    q = counts.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").foreachBatch(write).trigger(availableNow=True).start()
+    q.awaitTermination()
+    out = spark.read.schema("w struct<start:timestamp,end:timestamp>, event_type string, count long, batch long").option("basePath", f"{base}/out").parquet(f"{base}/out")
+    return out.groupBy(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type").agg(F.max_by("count", "batch").alias("n"))
