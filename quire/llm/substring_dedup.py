@@ -6,7 +6,8 @@ contains c has its least hash at c. A text of n shingles has about 2n / LEAST_SH
 hold the same passage, their windows around it have the same least hash, for every hash function; for passages of
 similarity s, for about a share s of the functions.
 
-1. Windows of HASHES functions meet by that hash. Within a batch of documents equal keys are merged at once: the first
+1. Windows of HASHES functions meet by that hash and another shingle REACH before or behind it, so that texts which
+   share just one line don't meet. Within a batch of documents equal keys are merged at once: the first
    window stands for the others, which are linked with it; so a key in a third of all rows is shuffled once a batch.
 2. Sorted by key, each window is linked with the first one of its key. No pairs within a group are made.
 3. Links of a pair of documents are joined by their intervals; a candidate is a run of overlapping intervals in which
@@ -35,9 +36,16 @@ from quire.llm.toxicity import segments
 SHINGLE = 5
 LEAST_WORDS = 50
 LEAST_SHINGLES = LEAST_WORDS - SHINGLE + 1
-HASHES = 4
+HASHES = 3
 ENOUGH = 2
+#: A window meets others by its least hash and a shingle this far from it. Of every passage one of the two sides is inside.
+REACH = LEAST_SHINGLES // 2
 SIMILARITY = 0.8
+#: Documents whose windows are merged before they are shuffled; and rows of an Arrow batch.
+SLICE = 300
+ROWS = 3000
+#: Bits of the filter by which documents without any candidate are left out before texts are shuffled: 8 MB at any size.
+FILTER_BITS = 1 << 25
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 _LOW = np.uint64(0xFFFF)
 
@@ -104,7 +112,7 @@ def windows(docs: DataFrame) -> DataFrame:
     """Windows by key, those of a batch with the same key merged; where doc2 is set, a row is a link found already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(at, SLICE) for x in batches for at in range(0, x.num_rows, SLICE)):
             parts = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 h = shingles(text)
@@ -112,8 +120,10 @@ def windows(docs: DataFrame) -> DataFrame:
                     continue
                 for f in range(HASHES):
                     w = np.array(compact_windows(mixed(h, f)), dtype=np.int64)
-                    key = mixed(h[w[:, 1]] + np.uint64(f), f).view(np.int64)
-                    parts.append(np.column_stack([key, np.full(len(w), doc), w, np.full(len(w), f)]))
+                    for side in (-REACH, REACH):
+                        v = w[(w[:, 1] + side >= w[:, 0]) & (w[:, 1] + side < w[:, 2])]
+                        key = mixed(h[v[:, 1]] + mixed(h[v[:, 1] + side], (f + 1) % 4) + np.uint64(2 * f + (side > 0)), f).view(np.int64)
+                        parts.append(np.column_stack([key, np.full(len(v), doc), v, np.full(len(v), f)]))
             if not parts:
                 continue
             a = np.concatenate(parts)
@@ -197,61 +207,77 @@ def compare(a: np.ndarray, b: np.ndarray, least: int = LEAST_SHINGLES, similarit
     for s, e, _ in segments(np.where(shared, 1.0, -4.0).tolist()):
         if e - s < least:
             continue
-        mine = np.isin(a, b[s:e])
-        p, q = _best_run(mine)
-        one, two = set(a[p:q].tolist()), set(b[s:e].tolist())
-        j = len(one & two) / max(1, len(one | two))
-        if q - p >= least and j >= similarity:
-            out.append((p, q, s, e, j))
+        whole = _matched(a, b, s, e, least, similarity)
+        # two passages with a gap between may be one stretch here and apart there: then each unbroken run for itself
+        out += whole or [x for p, q in _unbroken(shared, s, e) if q - p >= least for x in _matched(a, b, p, q, least, similarity)]
     return out
 
 
+def _matched(a: np.ndarray, b: np.ndarray, s: int, e: int, least: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
+    p, q = _best_run(np.isin(a, b[s:e]))
+    one, two = set(a[p:q].tolist()), set(b[s:e].tolist())
+    j = len(one & two) / max(1, len(one | two))
+    return [(p, q, s, e, j)] if q - p >= least and j >= similarity else []
+
+
+def _unbroken(shared: np.ndarray, s: int, e: int) -> list[tuple[int, int]]:
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], shared[s:e].astype(np.int8), [0]])))
+    return [(s + int(x), s + int(y)) for x, y in edges.reshape(-1, 2)]
+
+
 def _stretches(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, lo, hi, digest, h): the shingles of each wanted stretch (doc, lo, hi)."""
-    per_doc = wanted.groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    met = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").dropna().join(per_doc, "doc")
+    """(side, n, digest, h): the shingles, in 32 bits, of each wanted stretch side (doc, lo, hi), which n candidates have."""
+    bit = lambda doc: F.pmod(F.xxhash64(doc), F.lit(FILTER_BITS))
+    words = wanted.select(bit(F.col("doc")).alias("p")).groupBy(F.shiftright("p", 6).alias("w"))
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))  # FILTER_BITS / 64 rows at most
+    p = bit(F.col("doc_id").cast("long"))
+    likely = docs.select(F.col("doc_id").cast("long").alias("doc"), "text", F.shiftright(p, 6).alias("w"), (p % 64).cast("int").alias("k"))
+    likely = likely.join(F.broadcast(words), "w").filter(F.getbit("bits", "k") == 1)
+    per_doc = wanted.groupBy("doc").agg(F.collect_set(F.struct("lo", "hi", "n")).alias("spans"))
+    met = likely.select("doc", "text").dropna().join(per_doc.hint("merge"), "doc")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for doc, text, spans in zip(b["doc"], b["text"], b["spans"], strict=True):
-                h, out = shingles(text), []
-                for x in spans:
-                    part = h[x["lo"] : x["hi"]]
-                    out.append((doc, x["lo"], x["hi"], xxhash.xxh64_intdigest(part.tobytes()) - (1 << 63), part.view(np.int64)))
-                    if len(out) == 200:
-                        yield pd.DataFrame(out, columns=["doc", "lo", "hi", "digest", "h"])
-                        out = []
-                yield pd.DataFrame(out, columns=["doc", "lo", "hi", "digest", "h"])
+                h = shingles(text)
+                for at in range(0, len(spans), 200):
+                    out = []
+                    for x in spans[at : at + 200]:
+                        part = (h[x["lo"] : x["hi"]] >> np.uint64(32)).astype(np.uint32)
+                        digest = xxhash.xxh64_intdigest(h[x["lo"] : x["hi"]].tobytes()) - (1 << 63)
+                        out.append(({"doc": doc, "lo": x["lo"], "hi": x["hi"]}, x["n"], digest, part.view(np.int32)))
+                    yield pd.DataFrame(out, columns=["side", "n", "digest", "h"])
 
     with batch_rows(docs.sparkSession):
-        return written(met.mapInPandas(run, "doc long, lo long, hi long, digest long, h array<long>"), "stretches")
+        return written(met.mapInPandas(run, "side struct<doc:long,lo:long,hi:long>, n long, digest long, h array<int>"), "stretches")
+
+
+def _once(parts: DataFrame) -> DataFrame:
+    """parts with one row for each side: several only where rows share a doc_id."""
+    repeated = parts.groupBy("side").count().filter("count > 1")
+    return parts if repeated.isEmpty() else written(parts.dropDuplicates(["side"]), "sides")
 
 
 def shared_passages(docs: DataFrame) -> DataFrame:
     """(a, b, start_a, end_a, start_b, end_b, similarity): verified links, a < b, in words from 0 with the end excluded."""
-    with batch_rows(docs.sparkSession, 300):
-        found = written(windows(docs), "windows")
-    linked = written(links(found), "links")
+    with batch_rows(docs.sparkSession, ROWS):
+        linked = written(links(windows(docs)), "links")
     pairs = written(candidates(linked), "pairs")
-    sides = pairs.select(F.col("a").alias("doc"), F.col("lo_a").alias("lo"), F.col("hi_a").alias("hi")).unionByName(
-        pairs.select(F.col("b").alias("doc"), F.col("lo_b").alias("lo"), F.col("hi_b").alias("hi"))
-    )
-    counted = written(sides.groupBy("doc", "lo", "hi").agg(F.count(F.lit(1)).alias("n")), "sides")
-    parts = _stretches(docs, counted).dropDuplicates(["doc", "lo", "hi"]).join(counted, ["doc", "lo", "hi"])
-    parts = written(parts.withColumn("side", F.struct("doc", "lo", "hi")).select("side", "n", "digest", "h"), "parts")
-    keyed = written(pairs.select(F.struct(F.col("a").alias("doc"), F.col("lo_a").alias("lo"), F.col("hi_a").alias("hi")).alias("x"), F.struct(F.col("b").alias("doc"), F.col("lo_b").alias("lo"), F.col("hi_b").alias("hi")).alias("y")), "keyed")
-    light = parts.select("side", "n", "digest")
-    one = attach(keyed.withColumnRenamed("x", "side"), light, "side", "n").withColumnsRenamed({"side": "x", "digest": "dx"}).drop("n")
-    both = attach(written(one, "one").withColumnRenamed("y", "side"), light, "side", "n").withColumnsRenamed({"side": "y", "digest": "dy"}).drop("n")
+    side = lambda k: F.struct(F.col(k).alias("doc"), F.col(f"lo_{k}").alias("lo"), F.col(f"hi_{k}").alias("hi"))
+    sides = pairs.select(side("a").alias("s")).unionByName(pairs.select(side("b").alias("s"))).select("s.*")
+    counted = written(sides.groupBy("doc", "lo", "hi").agg(F.count(F.lit(1)).alias("n")), "counted")
+    parts = _once(_stretches(docs, counted))
+    light, heavy = parts.select("side", "n", "digest"), parts.select("side", "n", "h")
+    keyed = pairs.select(side("a").alias("side"), side("b").alias("y"))
+    one = attach(keyed, light, "side", "n").select(F.col("side").alias("x"), F.col("digest").alias("dx"), F.col("y").alias("side"))
+    both = attach(written(one, "one"), light, "side", "n").select("x", F.col("side").alias("y"), (F.col("dx") == F.col("digest")).alias("same"))
     both = written(both, "both")
-    equal = both.filter("dx = dy").select(
+    equal = both.filter("same").select(
         F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.lo").alias("start_a"), F.col("x.hi").alias("end_a"), F.col("y.lo").alias("start_b"), F.col("y.hi").alias("end_b"), F.lit(1.0).alias("similarity")
-    )
-    heavy = parts.select("side", "n", "h")
-    rest = written(both.filter("dx <> dy").select("x", "y"), "rest")
-    first = attach(rest.withColumnRenamed("x", "side"), heavy, "side", "n").withColumnsRenamed({"side": "x", "h": "hx"}).drop("n")
-    full = attach(written(first, "first").withColumnRenamed("y", "side"), heavy, "side", "n").withColumnsRenamed({"side": "y", "h": "hy"})
-    flat = full.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.lo").alias("lo_a"), F.col("y.lo").alias("lo_b"), "hx", "hy")
+    )
+    first = attach(both.filter("not same").select(F.col("x").alias("side"), "y"), heavy, "side", "n").select(F.col("side").alias("x"), F.col("h").alias("hx"), F.col("y").alias("side"))
+    full = attach(first, heavy, "side", "n")
+    flat = full.select(F.col("x.doc").alias("a"), F.col("side.doc").alias("b"), F.col("x.lo").alias("lo_a"), F.col("side.lo").alias("lo_b"), "hx", F.col("h").alias("hy"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
