@@ -3,7 +3,7 @@
 Level 1 encodes the listed keys. Level 2 encodes the unlisted keys that level 1 takes for listed, level 3 the listed keys
 that level 2 takes for those, and so on until a level errs on no key. As every key of the corpus was in the universe
 from which the levels were built, the answer is exact for every page, and pages are judged without a join: the filters
-are literals of the plan.
+are scalar subqueries of one row.
 
 A filter has a proven bound: keys are dealt by hash to passes of about MOST_KEYS listed keys, each with a cascade of its
 own, and a pass judges the pages of its keys only. Only DataFrame functions are used.
@@ -57,29 +57,31 @@ def _positions(key: Column, level: int, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(HASHES * level + i)), F.lit(bits).cast("long")) for i in range(HASHES)]
 
 
-def _filter(keys: DataFrame, level: int, n: int) -> tuple[bytes, int]:
-    """The filter's bytes. The driver gets its words, n * BITS_PER_KEY / 64 at most."""
+def _filter(keys: DataFrame, level: int, n: int) -> tuple[DataFrame, int]:
+    """The filter as one row (words), an array of longs, and its bits. The driver gets its words, n * BITS_PER_KEY / 64 at most.
+
+    It is a table that plans refer to by a scalar subquery, so it is in no plan's text however large it is.
+    """
     bits = max(LEAST_BITS, -(-n * BITS_PER_KEY // 64) * 64)
     at = keys.select(F.explode(F.array(*_positions(F.col("key"), level, bits))).alias("p"))
     words = at.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
-    out = bytearray(bits // 8)
+    out = [0] * (bits // 64)
     for word, value in words.toLocalIterator():
-        out[8 * word : 8 * word + 8] = (value & (1 << 64) - 1).to_bytes(8, "little")
-    return bytes(out), bits
+        out[word] = value
+    return written(keys.sparkSession.createDataFrame([(out,)], "words array<long>"), "filter"), bits
 
 
-def _contains(key: Column, level: int, data: bytes, bits: int) -> Column:
-    lit, hit = F.lit(data), None
+def _contains(key: Column, level: int, words: DataFrame, bits: int) -> Column:
+    array, hit = words.scalar(), None
     for p in _positions(key, level, bits):
-        byte = F.conv(F.hex(F.substring(lit, (F.shiftright(p, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        bit = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (p % 8).cast("int"))) != 0
+        bit = F.getbit(F.get(array, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")) == 1
         hit = bit if hit is None else hit & bit
     return hit
 
 
-def cascade(universe: DataFrame) -> list[tuple[bytes, int]]:
+def cascade(universe: DataFrame) -> list[tuple[DataFrame, int]]:
     """Filters of all levels for universe (key, listed), one row for each key."""
-    levels: list[tuple[bytes, int]] = []
+    levels: list[tuple[DataFrame, int]] = []
     inside, outside = universe.filter("listed"), universe.filter("not listed")
     while len(levels) < MOST_LEVELS:
         if (n := inside.count()) == 0:
@@ -90,7 +92,7 @@ def cascade(universe: DataFrame) -> list[tuple[bytes, int]]:
     raise RuntimeError("the cascade did not end")
 
 
-def member(key: Column, levels: list[tuple[bytes, int]]) -> Column:
+def member(key: Column, levels: list[tuple[DataFrame, int]]) -> Column:
     """Whether key is listed, exact for keys of the universe: the first level without it decides, else the last one does."""
     out = F.lit(len(levels) % 2 == 1)
     for k in reversed(range(len(levels))):
