@@ -212,7 +212,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: find nine in ten or more, and what they find is verified.
 SHINGLE = 5
 SIMILARITY = 0.8
-TABLES = 4
+TABLES = 6
 SET_BITS = 46
 
 
