@@ -16,7 +16,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows in a batch that goes to Python; texts are long, so fewer than Spark's default.
 PYTHON_ROWS = 500
 #: Buckets that a class of rows is dealt to before its rows are numbered.
-NUMBERING_BUCKETS = 64
+NUMBERING_BUCKETS = 256
 
 _written: list[tuple[SparkSession, str]] = []
 _local: list[str] = []
