@@ -27,11 +27,10 @@ def ingest(files: DataFrame, existing: DataFrame) -> DataFrame:
 
     One row for each file: canonical_id of its content before the batch, outcome, duplicate status and schedule.
     """
-    known = existing.groupBy("content_hash").agg(F.min(F.struct("doc_id", "source_present")).alias("c"))
+    known = existing.groupBy("content_hash").agg(F.min("doc_id").alias("canonical_id"), F.min_by("source_present", "doc_id").alias("_present"))
     met = files.join(known, "content_hash", "left")
-    has = F.col("c").isNotNull()
-    result = outcome(has, F.col("mode"), F.coalesce(F.col("c.source_present"), F.lit(False)))
-    met = met.withColumn("canonical_id", F.col("c.doc_id")).withColumn("outcome", result).drop("c")
+    result = outcome(F.col("canonical_id").isNotNull(), F.col("mode"), F.coalesce("_present", F.lit(False)))
+    met = met.withColumn("outcome", result).drop("_present")
     status = F.when(F.col("outcome") == "created", "unique").when(F.col("outcome") == "duplicate_created", "member").when(F.col("outcome") == "repaired", "canonical")
     return met.withColumn("duplicate_status", status).withColumn("schedule", scheduled(F.col("outcome"), F.col("mode")))
 

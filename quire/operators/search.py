@@ -130,6 +130,11 @@ def token_table(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.explode(fulltext.terms(F.col(text))).alias("token"), key)
 
 
+def write_index(index: DataFrame, path: str) -> None:
+    """The token table in ranges of tokens, sorted within files: a search reads the row groups of its tokens only."""
+    index.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(path)
+
+
 def search_tokens(index: DataFrame, key: str, q: str) -> DataFrame:
     """Keys of the index that have all terms of the query; the token filter is pushed to the index's scan."""
     wanted = fulltext.query_terms(q)

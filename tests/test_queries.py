@@ -63,12 +63,13 @@ def test_translations_come_first_and_can_hide_originals(spark):
     assert all("<mark>" in h.snippet for h in search.ui(spark, SF, "the", "all", 3).collect())
 
 
-def test_index_answers_as_the_scan(spark):
+def test_index_answers_as_the_scan(spark, tmp_path):
     from quire.functions import fulltext
     from quire.sources.tables import blocks
 
     b = blocks(spark, SF)
-    index = search.token_table(b, "block_id", "text")
+    search.write_index(search.token_table(b, "block_id", "text"), f"file://{tmp_path}/index")
+    index = spark.read.parquet(f"file://{tmp_path}/index")
     for q in ("the and", "die der", "zzz", " "):
         got = {r.block_id for r in search.search_tokens(index, "block_id", q).collect()}
         assert got == {r.block_id for r in b.filter(fulltext.matches(b["text"], q)).select("block_id").collect()}
