@@ -1,12 +1,12 @@
 """Sharding by minimax contiguous partition.
 
-Atomic groups (rows with equal texts) are ordered by size, largest first, ties by a hash of the text. Shards are runs of
-that order. A binary search finds the smallest capacity for which a greedy scan needs no more shards than there are;
-the cuts follow.
+Atomic groups are rows with equal texts. They are put in an order, and shards are runs of that order: a binary search
+finds the smallest capacity for which a greedy scan needs no more shards than there are, and the cuts follow.
 
-Ordering by size makes the scan cheap at any scale: groups of equal size form one run, and a run is filled into shards
-by division. Different sizes sum up to at most the input, so their number is below sqrt(2 * bytes): 14 million for
-100 TB, and far fewer in practice. The driver gets one (size, groups) row for each, never a group.
+The order is by size, but for the few large groups (over an eighth of an equal share, so at most eight for each shard):
+each stands where it leaves room for small ones to fill the shard up. Groups of equal size form one run, and a run is
+filled into shards by division. Different sizes sum up to at most the input, so their number is below sqrt(2 * bytes):
+14 million for 100 TB, and far fewer in practice. The driver gets one (size, groups) row for each, never a group.
 
 A group larger than an equal share gets a shard of its own first, and the others are balanced over the shards left; so
 one giant group doesn't leave other shards empty.
@@ -15,7 +15,9 @@ one giant group doesn't leave other shards empty.
 from __future__ import annotations
 
 import bisect
+import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +27,10 @@ from quire.llm.common import attach, numbered, table, written
 
 SHARDS = 40
 OVERHEAD = 16
+#: A group over this part of an equal share is large.
+LARGE_SHARE = 8
 
-#: (size of each group, number of groups), largest size first
+#: (size of each group, number of groups)
 Runs = list[tuple[int, int]]
 
 
@@ -53,7 +57,8 @@ def smallest_capacity(runs: Runs, shards: int) -> int:
     if not runs:
         return 0
     total = sum(s * n for s, n in runs)
-    low, high = max(runs[0][0], -(-total // shards)), runs[0][0] + -(-total // shards)
+    largest = max(s for s, _ in runs)
+    low, high = max(largest, -(-total // shards)), largest + -(-total // shards)
     while low < high:
         mid = (low + high) // 2
         if shards_needed(runs, mid, shards) <= shards:
@@ -103,25 +108,91 @@ def _rest(runs: Runs, at: int, used: int) -> Runs:
     return [(s, n) for s, n in [(runs[at][0], runs[at][1] - used), *runs[at + 1 :]] if n] if at < len(runs) else []
 
 
-def minimax_cuts(runs: Runs, shards: int = SHARDS) -> list[tuple[int, int]]:
-    """(run, groups of that run) where shards 1 to shards - 1 start. runs: largest size first."""
-    giants, total = 0, sum(s * n for s, n in runs)
-    at, used = 0, 0
-    while at < len(runs) and giants < shards - 1 and runs[at][0] * (shards - giants) >= total:
-        giants += 1
-        total -= runs[at][0]
-        used += 1
-        if used == runs[at][1]:
-            at, used = at + 1, 0
-    rest = _rest(runs, at, used)
-    own, a, u = [], 0, 0
-    for _ in range(giants):
-        u += 1
-        if u == runs[a][1]:
-            a, u = a + 1, 0
-        own.append((a, u))
-    cuts = _cut(rest, shards - giants, smallest_capacity(rest, shards - giants))
-    return own + [(at + r, u + (used if r == 0 else 0)) for r, u in cuts]
+@dataclass(frozen=True)
+class Plan:
+    """Where groups go, by their size and their rank among groups of that size."""
+
+    large: dict[tuple[int, int], int]  # (size, rank): shard
+    starts: list[tuple[int, int]]  # of small groups: (-size, rank) from which the shard of the same place in `shards` holds
+    shards: list[int]
+
+    def shard_of(self, size: int, rank: int = 0) -> int:
+        if (found := self.large.get((size, rank))) is not None:
+            return found
+        return self.shards[bisect.bisect_right(self.starts, (-size, rank)) - 1]
+
+    def ranked_sizes(self) -> set[int]:
+        """Sizes whose groups don't all go to one shard."""
+        return {s for s, _ in self.large} | {-s for s, r in self.starts if r}
+
+
+def _ordered(runs: Runs, shards: int) -> list[tuple[int, int, int]]:
+    """(size, first rank, groups) in order: large groups spread, each with the small ones that fill its shard up."""
+    share = sum(s * n for s, n in runs) / shards
+    bins: list[tuple[int, int, list[tuple[int, int, int]]]] = [(0, k, []) for k in range(shards)]
+    small = []
+    for size, n in runs:
+        if size <= share / LARGE_SHARE:
+            small.append((size, n))
+            continue
+        for rank in range(n):
+            load, k, held = heapq.heappop(bins)
+            heapq.heappush(bins, (load + size, k, [*held, (size, rank, 1)]))
+    out, at, used, left = [], 0, 0, sum(s * n for s, n in small)
+    full = sorted(bins, key=lambda b: (-b[0], b[1]))
+    for i, (load, _, held) in enumerate(full):
+        out += held
+        level = (left + sum(b[0] for b in full[i:])) / (len(full) - i)
+        room = level - load if i < len(full) - 1 else left
+        while at < len(small) and room > 0:
+            size, n = small[at]
+            take = n - used if i == len(full) - 1 else min(n - used, int(room / size + 0.5))
+            if not take:
+                break
+            out.append((size, used, take))
+            room, left, used = room - take * size, left - take * size, used + take
+            if used == n:
+                at, used = at + 1, 0
+    return out
+
+
+def minimax_plan(runs: Runs, shards: int = SHARDS) -> Plan:
+    """runs: largest size first."""
+    large: dict[tuple[int, int], int] = {}
+    total, rest = sum(s * n for s, n in runs), list(runs)
+    while rest and len(large) < shards - 1 and rest[0][0] * (shards - len(large)) >= total:  # a shard of its own
+        size, n = rest[0]
+        large[(size, dict(runs)[size] - n)] = len(large)
+        total -= size
+        rest[0:1] = [(size, n - 1)] if n > 1 else []
+    own = len(large)
+    taken = dict(runs)[rest[0][0]] - rest[0][1] if rest else 0
+    order = [(s, r + (taken if rest and s == rest[0][0] else 0), n) for s, r, n in _ordered(rest, shards - own)]
+    flat = [(s, n) for s, _, n in order]
+    cuts = _cut(flat, shards - own, smallest_capacity(flat, shards - own))
+    bound = total / (shards - own) / LARGE_SHARE
+    starts: list[tuple[int, int]] = []
+    held: list[int] = []
+    shard, k = own, 0
+    for i, (size, first, n) in enumerate(order):
+        edges = [0]
+        while k < len(cuts) and (cuts[k][0] < i or cuts[k] == (i, 0)):
+            shard, k = shard + 1, k + 1
+        here = [shard]
+        while k < len(cuts) and cuts[k][0] == i:
+            shard, k = shard + 1, k + 1
+            if cuts[k - 1][1] == edges[-1]:
+                here[-1] = shard
+            else:
+                edges.append(cuts[k - 1][1])
+                here.append(shard)
+        for e, h in zip(edges, here, strict=True):
+            if size > bound:
+                large[(size, first + e)] = h
+            elif e < n and (not held or held[-1] != h):
+                starts.append((-size, first + e))
+                held.append(h)
+    return Plan(large, starts or [(0, 0)], held or [own])
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -143,7 +214,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
     groups = written(rows.groupBy("_key").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("group_size")), "groups")
     runs: Runs = [(r[0], r[1]) for r in groups.groupBy("_bytes").count().orderBy(F.desc("_bytes")).toLocalIterator()]
-    placed = _place(groups, runs, minimax_cuts(runs, shards))
+    placed = _place(groups, minimax_plan(runs, shards))
     met = attach(rows, written(placed, "placed"), "_key", "group_size").drop("_key")
     out = numbered(written(met, "met"), ["shard"], ["doc_id", "text_crc32", "size"], "slot")
     return out.select(
@@ -151,29 +222,20 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
 
 
-def _place(groups: DataFrame, runs: Runs, cuts: list[tuple[int, int]]) -> DataFrame:
-    """groups with their shard. Only sizes within which a cut falls need their groups numbered; there are 39 at most."""
-    inner = sorted({runs[r][0] for r, u in cuts if u and r < len(runs)})
-    cut_runs = [r for r, _ in cuts]
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        negative = [-runs[r][0] if r < len(runs) else 1 for r in cut_runs]
-        for b in batches:  # a size's shard is the number of cuts at or before it
-            b["shard"] = [bisect.bisect_right(negative, -int(x)) for x in b["_bytes"]]
-            yield b
-
-    kinds = "_key binary, _bytes long, group_size long, shard int"
-    plain = groups.filter(~F.col("_bytes").isin(inner)) if inner else groups
-    out = plain.mapInPandas(whole, kinds)
-    if inner:
-        split = numbered(groups.filter(F.col("_bytes").isin(inner)), ["_bytes"], ["_key"], "_rank")
-        shard = F.lit(0)
-        for r, u in cuts:
-            if r < len(runs):
-                size = runs[r][0]
-                shard = shard + F.when((F.col("_bytes") < size) | ((F.col("_bytes") == size) & (F.col("_rank") >= u)), 1).otherwise(0)
-        out = out.unionByName(split.select("_key", "_bytes", "group_size", shard.cast("int").alias("shard")))
-    return out.drop("_bytes")
+def _place(groups: DataFrame, plan: Plan) -> DataFrame:
+    """groups with their shard. Only those of sizes that go to several shards need a rank: a few hundred sizes at most."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["shard"] = [plan.shard_of(int(s), int(r)) for s, r in zip(b["_bytes"], b["_rank"], strict=True)]
+            yield b[["_key", "group_size", "shard"]]
+
+    ranked = sorted(plan.ranked_sizes())
+    plain = groups.filter(~F.col("_bytes").isin(ranked)) if ranked else groups
+    both = plain.withColumn("_rank", F.lit(0).cast("long"))
+    if ranked:
+        both = both.unionByName(numbered(groups.filter(F.col("_bytes").isin(ranked)), ["_bytes"], ["_key"], "_rank"))
+    return both.mapInPandas(run, "_key binary, group_size long, shard int")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

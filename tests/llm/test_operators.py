@@ -159,16 +159,32 @@ def test_smallest_capacity_by_brute_force():
             return sum(sizes)
         return min(max(sum(sizes[:k]), best(sizes[k:], shards - 1)) for k in range(len(sizes) + 1))
 
-    for _ in range(60):
-        sizes = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 8))), reverse=True)
-        runs = sorted(Counter(sizes).items(), reverse=True)
+    for _ in range(80):
+        sizes = [rng.randint(1, 20) for _ in range(rng.randint(1, 8))]
+        runs = [(s, 1) for s in sizes] if rng.random() < 0.5 else sorted(Counter(sizes).items(), reverse=True)
+        sizes = [s for s, n in runs for _ in range(n)]
         shards = rng.randint(1, 4)
         assert sharding.smallest_capacity(runs, shards) == best(sizes, shards)
-        cuts = sharding.minimax_cuts(runs, shards)
+        cuts = sharding._cut(runs, shards, sharding.smallest_capacity(runs, shards))
         at = [0, *(sum(n for _, n in runs[:r]) + u for r, u in cuts), len(sizes)]
         assert max(sum(sizes[a:b]) for a, b in zip(at, at[1:], strict=False)) == best(sizes, shards)
 
 
+def test_plans_are_even():
+    rng = random.Random(3)
+    for _ in range(400):
+        sizes = Counter(rng.choice([rng.randint(1, 10), rng.randint(1, 1000), 17]) for _ in range(rng.randint(1, 60)))
+        runs, shards = sorted(sizes.items(), reverse=True), rng.randint(1, 9)
+        plan, loads, longest_first = sharding.minimax_plan(runs, shards), [0] * shards, [0] * shards
+        for size, n in runs:
+            for rank in range(n):
+                loads[plan.shard_of(size, rank)] += size
+                longest_first[longest_first.index(min(longest_first))] += size
+            assert size in plan.ranked_sizes() or plan.shard_of(size, 0) == plan.shard_of(size, n - 1)
+        assert max(loads) <= 1.1 * max(longest_first)
+    assert sharding.minimax_plan([], 3).shard_of(5) == 0
+
+
 def test_shards(docs):
     out = sharding.shard_documents(docs, 7).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == Counter((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in corpus())
