@@ -18,6 +18,9 @@ PYTHON_ROWS = 500
 #: Buckets that a class of rows is dealt to before its rows are numbered.
 NUMBERING_BUCKETS = 256
 
+#: Bits of the filter by which rows without a partner are left out before a shuffle.
+FILTER_BITS = 1 << 25
+
 _written: list[tuple[SparkSession, str]] = []
 _local: list[str] = []
 
@@ -99,6 +102,19 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
 
 
+def likely(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key is in keys, and a few others: what is left out needs no shuffle.
+
+    Keys are marked in FILTER_BITS bits, so what is broadcast is 8 MB at most whatever the number of keys; with very many
+    of them more rows pass, none is lost.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    words = keys.select(bit.alias("_p")).groupBy(F.shiftright("_p", 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_p % 64 as int))")).alias("_bits"))
+    marked = rows.withColumn("_p", bit).withColumn("_w", F.shiftright("_p", 6))
+    hit = F.getbit("_bits", (F.col("_p") % 64).cast("int")) == 1
+    return marked.join(F.broadcast(words), "_w").filter(hit).select(*rows.columns)
+
+
 def without(docs: DataFrame, keys: list[Column], drop: DataFrame, once: bool = False) -> DataFrame:
     """docs without the rows whose keys are in drop, compared null-safely; once: of rows with equal keys one stays.
 

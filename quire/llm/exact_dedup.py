@@ -21,14 +21,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import ascii_lower, attach, table, without, written
+from quire.llm.common import ascii_lower, attach, likely, table, without, written
 
 #: Entries in a bucket before it is split; at 100 bytes an entry, a bucket is about 25 MB.
 CAPACITY = 250_000
 #: Key bits that the directory may use at most: 65,536 counts are the most that the driver gets.
 MAX_DEPTH = 16
-#: Digests whose rows must be compared are broadcast up to this count (40 MB); beyond it, they are joined.
-MOST_BROADCAST = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -89,17 +87,15 @@ def index(docs: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFra
 
 
 def _chains(docs: DataFrame, entries: DataFrame) -> DataFrame:
-    """(bucket, text_sha256, link, keep_id, group_size, n) of each different text behind the digests of several rows.
+    """(text_sha256, keep_id, group_size, n) of each different text behind the digests of several rows.
 
-    link numbers the texts that share a digest. Grouping by the text combines copies within each task first.
+    Grouping by the text compares bytes, and combines copies within each task first.
     """
-    several = entries.filter("n > 1").select("bucket", "text_sha256", "n")
-    if several.count() <= MOST_BROADCAST:
-        several = F.broadcast(several)
+    several = entries.filter("n > 1").select("text_sha256", "n")
     text = docs.select(F.col("doc_id").cast("long"), ascii_lower(F.col("text")).alias("norm"))
-    met = text.withColumn("text_sha256", F.sha2("norm", 256)).join(several, "text_sha256")
-    compared = met.groupBy("bucket", "text_sha256", "n", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return compared.select("text_sha256", "n", "keep_id", "group_size", F.xxhash64("norm").alias("mark"))
+    met = likely(text.withColumn("text_sha256", F.sha2("norm", 256)), "text_sha256", several)
+    compared = met.groupBy("text_sha256", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return compared.select("text_sha256", "keep_id", "group_size").join(several, "text_sha256")
 
 
 def exact_groups(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:

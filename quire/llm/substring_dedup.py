@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.common import attach, batch_rows, table, written
+from quire.llm.common import attach, batch_rows, likely, table, written
 from quire.llm.components import components
 from quire.llm.simhash import shingle_hashes, words_of
 from quire.llm.toxicity import segments
@@ -44,8 +44,6 @@ SIMILARITY = 0.8
 #: Documents whose windows are merged before they are shuffled; and rows of an Arrow batch.
 SLICE = 300
 ROWS = 3000
-#: Bits of the filter by which documents without any candidate are left out before texts are shuffled: 8 MB at any size.
-FILTER_BITS = 1 << 25
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 _LOW = np.uint64(0xFFFF)
 
@@ -227,14 +225,9 @@ def _unbroken(shared: np.ndarray, s: int, e: int) -> list[tuple[int, int]]:
 
 def _stretches(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(side, n, digest, h): the shingles, in 32 bits, of each wanted stretch side (doc, lo, hi), which n candidates have."""
-    bit = lambda doc: F.pmod(F.xxhash64(doc), F.lit(FILTER_BITS))
-    words = wanted.select(bit(F.col("doc")).alias("p")).groupBy(F.shiftright("p", 6).alias("w"))
-    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))  # FILTER_BITS / 64 rows at most
-    p = bit(F.col("doc_id").cast("long"))
-    likely = docs.select(F.col("doc_id").cast("long").alias("doc"), "text", F.shiftright(p, 6).alias("w"), (p % 64).cast("int").alias("k"))
-    likely = likely.join(F.broadcast(words), "w").filter(F.getbit("bits", "k") == 1)
+    texts = likely(docs.select(F.col("doc_id").cast("long").alias("doc"), "text"), "doc", wanted)
     per_doc = wanted.groupBy("doc").agg(F.collect_set(F.struct("lo", "hi", "n")).alias("spans"))
-    met = likely.select("doc", "text").dropna().join(per_doc.hint("merge"), "doc")
+    met = texts.dropna().join(per_doc.hint("merge"), "doc")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
