@@ -207,13 +207,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-#: For deduplicated(): shingles of five words, similarity, and fingerprints over the set of words. One fingerprint of 46
-#: bits (all that two Golay codes cover) puts about half of the pairs at the similarity within 2 bits; TABLES of them
-#: find nine in ten or more, and what they find is verified.
+#: For deduplicated(): shingles of five words, and their similarity.
 SHINGLE = 5
 SIMILARITY = 0.8
-TABLES = 6
+#: Fingerprints over the set of words, of 46 bits (all that two Golay codes cover): about one in five of the pairs at the
+#: similarity is within one bit. TABLES of them, with different seeds, find nearly all at half the replicas that fewer
+#: tables with two bits take; what they find is verified.
+TABLES = 20
 SET_BITS = 46
+SET_THRESHOLD = 1
 
 
 def _set_prints(docs: DataFrame) -> DataFrame:
@@ -255,7 +257,7 @@ def verified_pairs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     rows = _set_prints(docs)
     prints = written(rows.groupBy("table", "fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "prints")
     most = prints.groupBy("table").count().agg(F.max("count")).first()[0] or 0
-    near = links(prints.select("fp", "table"), most, 2, SET_BITS, ("table",))
+    near = links(prints.select("fp", "table"), most, SET_THRESHOLD, SET_BITS, ("table",))
     side = lambda k, rep: prints.select("table", F.col("fp").alias(k), F.col("rep").alias(rep))
     near = near.join(side("a", "x"), ["table", "a"]).join(side("b", "y"), ["table", "b"]).select("x", "y")
     keyed = F.struct("table", "fp").alias("key")
