@@ -108,10 +108,11 @@ def likely(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     Keys are marked in FILTER_BITS bits, so what is broadcast is 8 MB at most whatever the number of keys; with very many
     of them more rows pass, none is lost.
     """
-    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-    words = keys.select(bit.alias("_p")).groupBy(F.shiftright("_p", 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_p % 64 as int))")).alias("_bits"))
+    # never null, so that the join adds no filter that would compute the key again
+    bit = F.xxhash64(key).bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
+    words = keys.select(bit.alias("_p")).groupBy(F.shiftright("_p", 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_p & 63 as int))")).alias("_bits"))
     marked = rows.withColumn("_p", bit).withColumn("_w", F.shiftright("_p", 6))
-    hit = F.getbit("_bits", (F.col("_p") % 64).cast("int")) == 1
+    hit = F.getbit("_bits", F.col("_p").bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
     return marked.join(F.broadcast(words), "_w").filter(hit).select(*rows.columns)
 
 

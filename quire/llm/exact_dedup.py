@@ -93,7 +93,8 @@ def _chains(docs: DataFrame, entries: DataFrame) -> DataFrame:
     """
     several = entries.filter("n > 1").select("text_sha256", "n")
     text = docs.select(F.col("doc_id").cast("long"), ascii_lower(F.col("text")).alias("norm"))
-    met = likely(text.withColumn("text_sha256", F.sha2("norm", 256)), "text_sha256", several)
+    # a digest is never null; said so, no join adds a filter that would compute it again
+    met = likely(text.withColumn("text_sha256", F.coalesce(F.sha2("norm", 256), F.lit(""))), "text_sha256", several)
     compared = met.groupBy("text_sha256", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return compared.select("text_sha256", "keep_id", "group_size").join(several, "text_sha256")
 
