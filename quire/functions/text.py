@@ -41,9 +41,13 @@ def extract_blocks(marked: Column) -> Column:
     """map<int,string> of marker number to plain text; blank blocks are left out, of equal numbers the last counts."""
     numbers, bodies = F.regexp_extract_all(marked, F.lit(MARKED), F.lit(1)), F.regexp_extract_all(marked, F.lit(MARKED), F.lit(2))
     pairs = F.zip_with(numbers, bodies, lambda n, x: F.struct(n.cast("int").alias("n"), strip_html(strip(x)).alias("t")))
-    full = F.filter(pairs, lambda x: x["t"] != "")
-    last = F.filter(full, lambda x, i: ~F.exists(F.slice(full, i + 2, F.size(full)), lambda y: y["n"] == x["n"]))
-    return F.map_from_entries(last)
+    none = F.create_map().cast("map<int,string>")
+
+    def step(acc: Column, x: Column) -> Column:
+        others = F.map_filter(acc, lambda k, _: k != x["n"])
+        return F.when(x["t"] == "", acc).otherwise(F.map_concat(others, F.create_map(x["n"], x["t"])))
+
+    return F.aggregate(pairs, none, step)
 
 
 def strip_markers(marked: Column) -> Column:
