@@ -128,6 +128,23 @@ def test_near_copies_leave_one(docs):
     assert ids.count(None) == 2
 
 
+def test_block_changes_are_near_copies(spark):
+    rng = random.Random(21)
+    grown, cut, edited = [], [], []
+    for i in range(40):
+        w = words(rng, 150)
+        grown.append((10 * i, " ".join(w), " ".join(w[:60] + words(rng, 24) + w[60:])))
+        cut.append((1000 + 10 * i, " ".join(w[:130]) + " x", " ".join(w[:110])))
+        e = list(w)
+        e[20] = e[70] = e[120] = "edited"
+        edited.append((2000 + 10 * i, " ".join([*w[:90], "y", *w[90:]]), " ".join([*e[:90], "y", *e[90:]])))
+
+    for kind in (grown, cut, edited):
+        d = spark.createDataFrame([(i, x) for i, x, _ in kind] + [(i + 1, y) for i, _, y in kind], "doc_id long, text string")
+        pairs = {(r.x, r.y) for r in simhash.verified_pairs(d).collect()}
+        assert pairs == {(i, i + 1) for i, _, _ in kind}
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randint(0, 120), rng.randint(0, 120)) for _ in range(70)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5), (None, 3)]
