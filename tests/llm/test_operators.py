@@ -145,6 +145,15 @@ def test_block_changes_are_near_copies(spark):
         assert pairs == {(i, i + 1) for i, _, _ in kind}
 
 
+def test_a_reordered_text_hides_no_near_copies(spark):
+    rng = random.Random(22)
+    w = words(rng, 150)
+    swapped = list(w)
+    swapped[40], swapped[41] = w[41], w[40]
+    d = spark.createDataFrame([(1, " ".join(sorted(w))), (2, " ".join(w)), (3, " ".join(swapped))], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.deduplicated(d).collect()} == {1, 2}
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randint(0, 120), rng.randint(0, 120)) for _ in range(70)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5), (None, 3)]
