@@ -12,8 +12,8 @@ similarity s, for about a share s of the functions.
 2. Sorted by key, each window is linked with the first one of its key. No pairs within a group are made.
 3. Links of a pair of documents are joined by their intervals; a candidate is a run of overlapping intervals in which
    ENOUGH hash functions agree.
-4. The shingles of both sides are fetched and compared: the passage is the stretch in which at least four of five shingles
-   are shared, and both sides' sets must have a Jaccard similarity of SIMILARITY or more.
+4. The shingles of both sides are fetched and compared: the passage is the stretch, from one shared shingle to another, in
+   which at least four of five are shared, and both sides' sets must have a Jaccard similarity of SIMILARITY or more.
 """
 
 from __future__ import annotations
@@ -189,33 +189,57 @@ def candidates(linked: DataFrame, enough: int = ENOUGH) -> DataFrame:
     return joined.filter(F.col("n_hashes") >= enough).select("a", "b", "lo_a", "hi_a", "lo_b", "hi_b", "n_hashes")
 
 
-def _best_run(shared: np.ndarray) -> tuple[int, int]:
-    """The stretch with the best score, four points lost for each shingle that isn't shared."""
-    s = np.concatenate([[0], np.cumsum(np.where(shared, 1, -4))])
-    low = np.minimum.accumulate(s)
-    end = int((s - low).argmax())
-    return int(s[: end + 1].argmin()) if end else 0, end
+def _spans(shared: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Stretches of `least` or more, from one shared shingle to another, of which at least four of five are shared.
+
+    Maximal segments lose four points for each shingle that isn't shared; a gap that costs more than either side has
+    parts them, though both with the gap may still be such a stretch. So every run of neighbours is one too; longest first.
+    """
+    parts = segments(np.where(shared, 1.0, -4.0).tolist())
+    if not parts:
+        return []
+    starts, ends = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
+    score = np.concatenate([[0], np.cumsum(np.where(shared, 1, -4))])
+    out = []
+    for k in range(len(parts)):
+        ok = (ends[k:] - starts[k] >= least) & (score[ends[k:]] - score[starts[k]] >= 0)
+        out += [(int(starts[k]), int(e)) for e in ends[k:][ok]]
+    return sorted(out, key=lambda x: (x[0] - x[1], x[0]))
 
 
 def compare(a: np.ndarray, b: np.ndarray, least: int = LEAST_SHINGLES, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, float]]:
-    """(start in a, end in a, start in b, end in b, Jaccard) of the passages that a and b share."""
+    """(start in a, end in a, start in b, end in b, Jaccard) of the passages that a and b share; each place of either side."""
     if len(a) == len(b) and (a == b).all():
         return [(0, len(a), 0, len(b), 1.0)] if len(a) >= least else []
-    out, shared = [], np.isin(b, a)
-    for s, e, _ in segments(np.where(shared, 1.0, -4.0).tolist()):
-        if e - s < least:
-            continue
-        whole = _matched(a, b, s, e, least, similarity)
-        # two passages with a gap between may be one stretch here and apart there: then each unbroken run for itself
-        out += whole or [x for p, q in _unbroken(shared, s, e) if q - p >= least for x in _matched(a, b, p, q, least, similarity)]
+    out: list[tuple[int, int, int, int, float]] = []
+    shared = np.isin(b, a)
+
+    def tried(spans: list[tuple[int, int]]) -> None:
+        for s, e in spans:
+            if not any(x[2] <= s and e <= x[3] for x in out):
+                out.extend(_matched(a, b, s, e, least, similarity))
+
+    tried(_spans(shared, least))
+    # two passages with a gap between may be one stretch here and apart there: then each unbroken run for itself
+    tried([(p, q) for p, q in _unbroken(shared, 0, len(b)) if q - p >= least])
+    if not out and min(len(a), len(b)) >= least:
+        j = _jaccard(a, b)
+        out = [(0, len(a), 0, len(b), j)] if j >= similarity else []
     return out
 
 
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    one, two = set(a.tolist()), set(b.tolist())
+    return len(one & two) / max(1, len(one | two))
+
+
 def _matched(a: np.ndarray, b: np.ndarray, s: int, e: int, least: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
-    p, q = _best_run(np.isin(a, b[s:e]))
-    one, two = set(a[p:q].tolist()), set(b[s:e].tolist())
-    j = len(one & two) / max(1, len(one | two))
-    return [(p, q, s, e, j)] if q - p >= least and j >= similarity else []
+    """All stretches of a that are similar enough to b[s:e]: a may hold the passage several times."""
+    out: list[tuple[int, int, int, int, float]] = []
+    for p, q in _spans(np.isin(a, b[s:e]), least):
+        if not any(x[0] <= p and q <= x[1] for x in out) and (j := _jaccard(a[p:q], b[s:e])) >= similarity:
+            out.append((p, q, s, e, j))
+    return out
 
 
 def _unbroken(shared: np.ndarray, s: int, e: int) -> list[tuple[int, int]]:

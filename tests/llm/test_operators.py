@@ -425,6 +425,16 @@ def test_compact_windows_hold_every_long_range():
     assert len(substring_dedup.compact_windows(np.ones(20000, dtype=np.uint64))) < 4 * 20000 / 46
 
 
+@pytest.mark.parametrize("length", [50, 55, 60, 65, 70, 75])
+def test_one_edit_leaves_a_passage(length):
+    rng = random.Random(length)
+    for at in range(5, length - 5):
+        w = words(rng, length)
+        e = [*w[:at], "edited", *w[at + 1 :]]
+        a, b = (substring_dedup.shingles(" ".join(words(rng, 30) + x + words(rng, 30))) for x in (w, e))
+        assert [x[:4] for x in substring_dedup.compare(a, b)] == [(30, 30 + length - 4, 30, 30 + length - 4)]
+
+
 def test_repeated_passages(spark):
     rng = random.Random(11)
     shared, near = words(rng, 60), words(rng, 120)
