@@ -8,7 +8,7 @@ similarity s, for about a share s of the functions.
 
 1. Windows of HASHES functions meet by that hash and another shingle REACH before or behind it, so that texts which
    share just one line don't meet. Within a batch of documents equal keys are merged at once: the first
-   window stands for the others, which are linked with it; so a key in a third of all rows is shuffled once a batch.
+   window stands for the others, which are linked with it (its own document's with another document); so a key in a third of all rows is shuffled once a batch.
 2. Sorted by key, each window is linked with the first one of its key. No pairs within a group are made.
 3. Links of a pair of documents are joined by their intervals; a candidate is a run of overlapping intervals in which
    ENOUGH hash functions agree.
@@ -106,6 +106,17 @@ def _linked(key: np.ndarray, before: tuple | None) -> tuple:
     return first, new
 
 
+def _others(new: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """For rows sorted by key, `new` where a key begins: index of the key's first row that isn't `alone`, or -1."""
+    if not len(new):
+        return np.zeros(0, dtype=np.int64)
+    group = np.cumsum(new) - 1
+    out = np.full(group[-1] + 1, -1)
+    at = np.flatnonzero(~alone)[::-1]
+    out[group[at]] = at  # backwards, so that the first one stays
+    return out[group]
+
+
 def windows(docs: DataFrame) -> DataFrame:
     """Windows by key, those of a batch with the same key merged; where doc2 is set, a row is a link found already."""
 
@@ -126,10 +137,13 @@ def windows(docs: DataFrame) -> DataFrame:
                 continue
             a = np.concatenate(parts)
             a = a[np.lexsort((a[:, 3], a[:, 1], a[:, 0]))]
-            first, _ = _linked(a[:, 0], None)
-            lone = first == np.arange(len(a))
-            keep = lone | (a[first, 1] != a[:, 1])  # a passage that one document repeats isn't linked with itself
-            a, first, lone, lead = a[keep], first[keep], lone[keep], a[first[keep]]
+            first, new = _linked(a[:, 0], None)
+            # a passage that one document repeats isn't linked with itself, but with the first other document of its key;
+            # where the batch has none, it meets the other batches like the first row
+            alone = a[first, 1] == a[:, 1]
+            second = _others(new, alone)
+            lone = (first == np.arange(len(a))) | (alone & (second < 0))
+            lead = a[np.where(alone & ~lone, second, first)]
             # a link needs no meeting any more: its own key only spreads it
             key = np.where(lone, a[:, 0], mixed(a[:, 0].view(np.uint64) ^ a[:, 1].view(np.uint64), 1).view(np.int64))
             columns = {"key": key, "doc": a[:, 1], "l": a[:, 2], "c": a[:, 3], "r": a[:, 4], "f": a[:, 5], "doc2": lead[:, 1], "l2": lead[:, 2], "c2": lead[:, 3], "r2": lead[:, 4]}
@@ -141,36 +155,66 @@ def windows(docs: DataFrame) -> DataFrame:
 
 
 def links(found: DataFrame) -> DataFrame:
-    """(a, b, f, lo_a, hi_a, lo_b, hi_b): windows linked with the first of their key, cut to the extent both have."""
+    """(a, b, f, lo_a, hi_a, lo_b, hi_b): windows linked with the first of their key, cut to the extent both have.
+
+    Further windows of the first one's document wait for the key's first window of another document.
+    """
     by_key = found.repartition("key").sortWithinPartitions("key", F.col("doc2").isNotNull(), "doc", "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None  # key and row of the first window of the key at hand
+        waiting: list[dict] = []  # rows of that key and window's document, until another document comes
         for b in batches:
             v = {k: b.column(k).to_numpy(zero_copy_only=False) for k in ("key", "doc", "l", "c", "r", "f")}
             known = ~b.column("doc2").is_null().to_numpy(zero_copy_only=False)
             other = {k: b.column(f"{k}2").fill_null(0).to_numpy(zero_copy_only=False) for k in ("doc", "l", "c", "r")}
             loose = np.flatnonzero(~known)
             key = v["key"][loose]
-            first, _ = _linked(key, last)
+            first, new = _linked(key, last)
             lead = {k: v[k][loose][np.maximum(first, 0)] for k in ("doc", "l", "c", "r")}
             if last is not None:
                 for k in lead:
                     lead[k] = np.where(first < 0, last[1][k], lead[k])
+            alone = v["doc"][loose] == lead["doc"]
+            second = _others(new, alone)
+            met: list[tuple[dict, int]] = []  # rows that waited, and the row they are linked with
+            if len(key):
+                if first[0] >= 0:
+                    waiting = []
+                elif second[0] >= 0:
+                    met, waiting = [(w, loose[second[0]]) for w in waiting], []
+                if key[-1] != key[0]:
+                    waiting = []
+                rest = alone & (first != np.arange(len(key)))
+                hold = loose[rest & (second < 0) & (key == key[-1])]
+                if len(hold):
+                    waiting.append({k: v[k][hold] for k in ("doc", "l", "c", "r", "f")})
+                again = rest & (second >= 0)
+                mates = {k: np.where(again, v[k][loose][np.maximum(second, 0)], lead[k]) for k in lead}
+            else:
+                mates = lead
             if len(key) and (last is None or key[-1] != last[0]):
                 at = loose[first[-1]]
                 last = (key[-1], {k: v[k][at] for k in lead})
+            lead = mates
             for k in lead:
                 other[k] = other[k].copy()
                 other[k][loose] = lead[k]
             ok = v["doc"] != other["doc"]
             x, y = {k: v[k][ok].astype(np.int64) for k in ("doc", "l", "c", "r")}, {k: other[k][ok].astype(np.int64) for k in other}
+            f = v["f"][ok]
+            if met:
+                f = np.concatenate([f, *(w["f"] for w, _ in met)])
+                x, y = (
+                    {k: np.concatenate([x[k], *(w[k] for w, _ in met)]).astype(np.int64) for k in x},
+                    {k: np.concatenate([y[k], *(np.full(len(w[k]), v[k][at]) for w, at in met)]).astype(np.int64) for k in x},
+                )
             swap = x["doc"] < y["doc"]
             lo, hi = {k: np.where(swap, x[k], y[k]) for k in x}, {k: np.where(swap, y[k], x[k]) for k in x}
             left = np.minimum(lo["c"] - lo["l"], hi["c"] - hi["l"])
             right = np.minimum(lo["r"] - lo["c"], hi["r"] - hi["c"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(z) for z in (lo["doc"], hi["doc"], v["f"][ok].astype(np.int32), lo["c"] - left, lo["c"] + right, hi["c"] - left, hi["c"] + right)],
+                [pa.array(z) for z in (lo["doc"], hi["doc"], f.astype(np.int32), lo["c"] - left, lo["c"] + right, hi["c"] - left, hi["c"] + right)],
                 names=["a", "b", "f", "lo_a", "hi_a", "lo_b", "hi_b"],
             )
 

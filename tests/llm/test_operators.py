@@ -455,6 +455,18 @@ def test_repeated_passages(spark):
     assert set(out) == {0, 300, 200, 201, *range(100, 120)}
 
 
+@pytest.mark.parametrize(("size", "rows"), [(300, 3000), (1, 3000), (1, 1)])
+def test_a_document_that_repeats_a_passage_has_all_places(spark, monkeypatch, size, rows):
+    monkeypatch.setattr(substring_dedup, "ROWS", rows)
+    rng = random.Random(14)
+    once, twice = words(rng, 60), words(rng, 60)
+    texts = [words(rng, 30) + once + words(rng, 200) + once + words(rng, 30), once + words(rng, 30), words(rng, 80) + twice + words(rng, 40) + twice]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(substring_dedup, "SLICE", size)
+    out = {(r.doc_id, r.first_word, r.last_word) for r in substring_dedup.repeated_passages(d).collect()}
+    assert out == {(0, 30, 89), (0, 290, 349), (1, 0, 59)}
+
+
 # 8
 
 
