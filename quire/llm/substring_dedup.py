@@ -18,7 +18,7 @@ similarity s, for about a share s of the functions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -233,22 +233,24 @@ def candidates(linked: DataFrame, enough: int = ENOUGH) -> DataFrame:
     return joined.filter(F.col("n_hashes") >= enough).select("a", "b", "lo_a", "hi_a", "lo_b", "hi_b", "n_hashes")
 
 
-def _spans(shared: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Stretches of `least` or more, from one shared shingle to another, of which at least four of five are shared.
+def _walk(shared: np.ndarray, least: int, test: Callable[[int, int], bool], enough: float = 0.0) -> None:
+    """Tests stretches of `least` or more, from one shared shingle to another, of which at least four of five are shared.
 
     Maximal segments lose four points for each shingle that isn't shared; a gap that costs more than either side has
-    parts them, though both with the gap may still be such a stretch. So every run of neighbours is one too; longest first.
+    parts them, though both with the gap may still be such a stretch. So all segments are one stretch first; what fails
+    is parted at its widest gap. Stretches with fewer than `enough` shared shingles are left, as their parts have no more.
     """
     parts = segments(np.where(shared, 1.0, -4.0).tolist())
-    if not parts:
-        return []
-    starts, ends = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
-    score = np.concatenate([[0], np.cumsum(np.where(shared, 1, -4))])
-    out = []
-    for k in range(len(parts)):
-        ok = (ends[k:] - starts[k] >= least) & (score[ends[k:]] - score[starts[k]] >= 0)
-        out += [(int(starts[k]), int(e)) for e in ends[k:][ok]]
-    return sorted(out, key=lambda x: (x[0] - x[1], x[0]))
+    count = np.concatenate([[0], np.cumsum(shared)])
+    work = [(0, len(parts))] if parts else []
+    while work:
+        i, j = work.pop()
+        s, e = parts[i][0], parts[j - 1][1]
+        n = int(count[e] - count[s])
+        if e - s < least or n < enough or (5 * n >= 4 * (e - s) and test(s, e)) or j - i == 1:
+            continue
+        cut = max(range(i + 1, j), key=lambda k: (parts[k][0] - parts[k - 1][1], -abs(2 * k - i - j)))
+        work += [(cut, j), (i, cut)]
 
 
 def compare(a: np.ndarray, b: np.ndarray, least: int = LEAST_SHINGLES, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, float]]:
@@ -258,14 +260,16 @@ def compare(a: np.ndarray, b: np.ndarray, least: int = LEAST_SHINGLES, similarit
     out: list[tuple[int, int, int, int, float]] = []
     shared = np.isin(b, a)
 
-    def tried(spans: list[tuple[int, int]]) -> None:
-        for s, e in spans:
-            if not any(x[2] <= s and e <= x[3] for x in out):
-                out.extend(_matched(a, b, s, e, least, similarity))
+    def test(s: int, e: int) -> bool:
+        found = _matched(a, b, s, e, least, similarity)
+        out.extend(found)
+        return bool(found)
 
-    tried(_spans(shared, least))
+    _walk(shared, least, test)
     # two passages with a gap between may be one stretch here and apart there: then each unbroken run for itself
-    tried([(p, q) for p, q in _unbroken(shared, 0, len(b)) if q - p >= least])
+    for p, q in _unbroken(shared, 0, len(b)):
+        if q - p >= least and not any(x[2] <= p and q <= x[3] for x in out):
+            test(p, q)
     if not out and min(len(a), len(b)) >= least:
         j = _jaccard(a, b)
         out = [(0, len(a), 0, len(b), j)] if j >= similarity else []
@@ -280,9 +284,16 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def _matched(a: np.ndarray, b: np.ndarray, s: int, e: int, least: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
     """All stretches of a that are similar enough to b[s:e]: a may hold the passage several times."""
     out: list[tuple[int, int, int, int, float]] = []
-    for p, q in _spans(np.isin(a, b[s:e]), least):
-        if not any(x[0] <= p and q <= x[1] for x in out) and (j := _jaccard(a[p:q], b[s:e])) >= similarity:
+    two = set(b[s:e].tolist())
+
+    def test(p: int, q: int) -> bool:
+        one = set(a[p:q].tolist())
+        j = len(one & two) / max(1, len(one | two))
+        if j >= similarity:
             out.append((p, q, s, e, j))
+        return j >= similarity
+
+    _walk(np.isin(a, b[s:e]), least, test, similarity * len(two))
     return out
 
 
