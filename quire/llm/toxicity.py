@@ -2,14 +2,18 @@
 
 Tokens are a word and its first letters (PREFIXES tells how many), as inflected and compound words share their stem. A token's score is its
 log-odds between toxic and clean documents with an informative Dirichlet prior: pseudo-counts in proportion to the
-token's share in both, which shrink rare tokens to zero. Tokens with a z-score of LEAST_Z or more are evidence; any
+token's share in both, which shrink rare tokens to zero. Tokens are evidence if their z-score is so high that hardly any
+of all tokens tested would reach it by chance (CHANCE); few labels test few tokens and so ask for less than many. Any
 other word has a small negative score, the log-ratio of the shares of words without evidence. So scores have a
 negative mean on clean text, as segment statistics require.
 
 A linear-time scan finds all maximal segments of a text (the disjoint runs that no extension or cut improves). A
 segment of score S in n words has the normalised score lambda * S - ln(K n); lambda and K are those of the extreme-value
 distribution of the best segment of clean texts. Segments over LEAST_BITS are significant. A document's evidence is the
-logarithm of the sum of its significant segments, and a logistic curve fitted on held-in rows makes it a probability.
+logarithm of the sum of its significant segments, and a logistic curve makes it a probability.
+
+Tokens are counted on all rows that may be learnt from. What is fitted on top of the tokens (drift, lambda, K and the
+curve) needs rows whose tokens weren't counted: each row is seen by a model of the FOLDS - 1 folds it isn't in.
 """
 
 from __future__ import annotations
@@ -17,7 +21,8 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -26,17 +31,22 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import batch_rows, table, written
 
-#: Labelled rows that the model is fitted on at most, about; drawn by a hash of doc_id. Two of five go to the curve.
+#: Labelled rows that the model is fitted on at most, about; drawn by a hash of doc_id.
 SAMPLE = 30_000
+FOLDS = 4
 PREFIXES = (5, 4)
-PRIOR = 300.0
-LEAST_Z = 3.4
-#: Documents of the sample in which a token occurs at least.
-LEAST_DOCS = 8
+#: Pseudo-documents of the prior for each document counted.
+PRIOR = 0.15
+#: Toxic documents in which a token occurs at least to be tested.
+LEAST_DOCS = 3
+#: Tokens taken for evidence by chance, about.
+CHANCE = 0.1
 LEAST_BITS = 0.0
 #: A word without evidence scores this or less, so that segments end between distant hits.
 LEAST_DRIFT = -0.05
 PREDICTED = 0.7
+#: Words whose score a worker remembers.
+REMEMBERED = 500_000
 _WORD = re.compile(r"\w+")
 
 
@@ -57,16 +67,31 @@ class Model:
     log_k: float = 0.0
     slope: float = 1.0
     shift: float = -4.0
-    cache: dict[str, float] = field(default_factory=dict, repr=False)
-
-    def of(self, word: str) -> float:
-        """Log-odds of the feature that is known best (by z-score), else the drift."""
-        if (s := self.cache.get(word)) is None:
-            s = max((self.scores[f] for f in features(word) if f in self.scores), default=(0.0, self.drift))[1]
-            if len(self.cache) < 200_000:
-                self.cache[word] = s
+
+    def scorer(self) -> Scorer:
+        return Scorer(self.scores)
+
+
+class Scorer(dict):
+    """Scores by word: the log-odds of the feature that is known best (by z-score), 0 for a word without evidence."""
+
+    def __init__(self, known: dict[str, tuple[float, float]]):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: str) -> float:
+        s = max((self.known[f] for f in features(word) if f in self.known), default=(0.0, 0.0))[1]
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = s
         return s
 
+    def hits(self, text: str | None) -> tuple[int, list[int], list[float]]:
+        """Number of words, and places and scores of those that are evidence."""
+        scores = list(map(self.__getitem__, words_of(text)))
+        at = [i for i, s in enumerate(scores) if s > 0] if any(scores) else []
+        return len(scores), at, [scores[i] for i in at]
+
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (start, end, score) of a sequence, in order, in linear time.
@@ -95,20 +120,20 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, y - x) for a, b, x, y in found]
 
 
-def passages(text: str | None, model: Model) -> tuple[int, float, list[tuple[int, int, float]]]:
-    """(words, best score, significant segments (first word, end, normalised score)) of a text."""
-    words = words_of(text)
-    scores = [model.of(w) for w in words]
-    if not words or max(scores) <= 0:
-        return len(words), 0.0, []
-    all_ = segments(scores)
-    base = model.log_k + math.log(len(words))
-    bits = [(a, b, model.scale * s - base) for a, b, s in all_]
-    return len(words), max(s for _, _, s in all_), [x for x in bits if x[2] >= LEAST_BITS]
+def passages(n: int, at: list[int], scores: list[float], model: Model) -> tuple[float, list[tuple[int, int, float]]]:
+    """(best score, significant segments (first word, end, normalised score)) of a text of n words with these hits.
 
-
-def evidence(text: str | None, model: Model) -> float:
-    return total(passages(text, model)[2])
+    The words between two hits are one item, so a text costs what its hits cost.
+    """
+    if not len(at):
+        return 0.0, []
+    items = [float(scores[0])]
+    for k in range(1, len(at)):
+        items += [model.drift * (at[k] - at[k - 1] - 1), float(scores[k])]
+    found = segments(items)
+    base = model.log_k + math.log(n)
+    bits = [(int(at[a // 2]), int(at[(b - 1) // 2]) + 1, model.scale * s - base) for a, b, s in found]
+    return max(s for _, _, s in found), [x for x in bits if x[2] >= LEAST_BITS]
 
 
 def total(found: list[tuple[int, int, float]]) -> float:
@@ -121,12 +146,12 @@ def probability(value: float, model: Model) -> float:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(doc_id, text, toxic, part) of the labelled rows that may be learnt from, about `sample` of them."""
+    """(doc_id, text, toxic, fold) of the labelled rows that may be learnt from, about `sample` of them."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     known = written(known.filter(~_held_out(F.col("doc_id"))), "known")
     rate = min(1.0, sample / max(1, known.count()))
     drawn = known.withColumn("draw", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000))).filter(F.col("draw") < int(rate * 1_000_000))
-    drawn = drawn.select(F.col("doc_id").alias("_id"), "toxic", (F.col("draw") % 5 >= 3).cast("int").alias("part"))
+    drawn = drawn.select(F.col("doc_id").alias("_id"), (F.col("toxic") == 1).cast("int").alias("toxic"), F.pmod("draw", F.lit(FOLDS)).cast("int").alias("fold"))
     return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).drop("_id")
 
 
@@ -136,74 +161,100 @@ def _held_out(doc_id):
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds and z-scores of tokens that occur in so many toxic and clean documents."""
-    prior = PRIOR * (toxic + clean) / max(1, n_toxic + n_clean)
+    size = PRIOR * (n_toxic + n_clean)
+    prior = PRIOR * (toxic + clean)
     t, c = toxic + prior, clean + prior
-    delta = np.log(t / np.maximum(n_toxic + PRIOR - t, 1e-9)) - np.log(c / np.maximum(n_clean + PRIOR - c, 1e-9))
+    delta = np.log(t / np.maximum(n_toxic + size - t, 1e-9)) - np.log(c / np.maximum(n_clean + size - c, 1e-9))
     return delta, delta / np.sqrt(1 / t + 1 / c)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model from rows with crc32(doc_id as text) mod 3 other than 1. Without labels of both kinds it knows no token."""
-    rows = written(_sample(docs, labels, sample), "sample")
+def least_z(tested: int) -> float:
+    """The z-score that any of so many tokens reaches by chance once in 1 / CHANCE samples."""
+    return NormalDist().inv_cdf(1 - CHANCE / (tested + 1))
+
+
+def _tokens(rows: DataFrame) -> tuple[pd.DataFrame, int]:
+    """Counts by token (c0, t0, c1, t1 and so on: clean and toxic documents of each fold) where toxic ones are at least twice
+    as frequent, and how many tokens were tested. Bounded by the sample."""
+    columns = [f"{k}{f}" for f in range(FOLDS) for k in "ct"]
 
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             counts: dict[str, list[int]] = {}
-            for text, toxic in zip(b["text"], b["toxic"], strict=True):
+            for text, toxic, fold in zip(b["text"], b["toxic"], b["fold"], strict=True):
                 for f in {f for w in set(words_of(text)) for f in features(w)}:
-                    counts.setdefault(f, [0, 0])[int(toxic == 1)] += 1
-            yield pd.DataFrame({"token": list(counts), "clean": [c[0] for c in counts.values()], "toxic": [c[1] for c in counts.values()]})
+                    counts.setdefault(f, [0] * (2 * FOLDS))[2 * fold + toxic] += 1
+            frame = pd.DataFrame(list(counts.values()), columns=columns, dtype="int64")
+            frame.insert(0, "token", list(counts))
+            yield frame
+
+    counted = rows.select("text", "toxic", "fold").mapInPandas(count, ", ".join(["token string", *(f"{c} long" for c in columns)]))
+    summed = counted.groupBy("token").agg(*(F.sum(c).alias(c) for c in columns))
+    clean, toxic = (sum((F.col(f"{k}{f}") for f in range(1, FOLDS)), F.col(f"{k}0")) for k in "ct")
+    n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
+    summed = summed.filter(toxic >= LEAST_DOCS)
+    summed = written(summed.withColumn("likely", toxic * n.get(0, 0) > clean * n.get(1, 0) * 2), "tokens")
+    return summed.filter("likely").drop("likely").toPandas().sort_values("token"), summed.count()
+
 
-    n = {r[0]: r[1] for r in rows.filter("part = 0").groupBy(F.col("toxic") == 1).count().collect()}
-    n_toxic, n_clean = n.get(True, 0), n.get(False, 0)
-    if not n_toxic or not n_clean:
-        return Model({})
-    counted = rows.filter("part = 0").select("text", "toxic").mapInPandas(tokens, "token string, clean long, toxic long")
-    summed = counted.groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    # a token that is no likelier in toxic documents can't be evidence; the rest is bounded by the sample
-    likely = summed.filter((F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") * n_clean > F.col("clean") * n_toxic * 2)).toPandas().sort_values("token")
-    delta, z = log_odds(likely["toxic"].to_numpy(float), likely["clean"].to_numpy(float), n_toxic, n_clean)
-    model = Model({t: (float(s), float(d)) for t, d, s in zip(likely["token"], delta, z, strict=True) if s >= LEAST_Z})
-    return _calibrated(model, rows.filter("part = 1"))
+def _evidence(tokens: pd.DataFrame, tested: int, sizes: np.ndarray, without: int | None = None) -> dict[str, tuple[float, float]]:
+    """Scores of the tokens that are evidence, by all folds but one; sizes are documents by fold and label."""
+    folds = [f for f in range(FOLDS) if f != without]
+    clean, toxic = (sum(tokens[f"{k}{f}"].to_numpy(float) for f in folds) for k in "ct")
+    n_clean, n_toxic = (int(sum(sizes[f][k] for f in folds)) for k in (0, 1))
+    if not len(tokens) or not n_toxic or not n_clean:
+        return {}
+    some = toxic > 0
+    delta, z = log_odds(toxic[some], clean[some], n_toxic, n_clean)
+    least = least_z(tested)
+    return {t: (float(s), float(d)) for t, s, d in zip(tokens["token"][some], z, delta, strict=True) if s >= least}
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """The model from rows with crc32(doc_id as text) mod 3 other than 1. Without labels of both kinds it knows no token."""
+    with batch_rows(docs.sparkSession):
+        rows = written(_sample(docs, labels, sample), "sample")
+        sizes = np.zeros((FOLDS, 2), dtype=int)
+        for fold, toxic, n in rows.groupBy("fold", "toxic").count().collect():
+            sizes[fold][toxic] = n
+        if not sizes[:, 0].sum() or not sizes[:, 1].sum():
+            return Model({})
+        tokens, tested = _tokens(rows)
+        return _calibrated(Model(_evidence(tokens, tested, sizes)), [_evidence(tokens, tested, sizes, f) for f in range(FOLDS)], rows)
 
 
-def _calibrated(model: Model, rows: DataFrame) -> Model:
-    """Drift, extreme-value scale and the curve, from held-in rows that the tokens weren't counted on."""
+def _calibrated(model: Model, folds: list[dict[str, tuple[float, float]]], rows: DataFrame) -> Model:
+    """Drift, extreme-value scale and the curve, by the hits of each row under the model that hasn't counted it."""
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorers = [Scorer(x) for x in folds]
         for b in batches:
-            out = []
-            for text, toxic in zip(b["text"], b["toxic"], strict=True):
-                words = words_of(text)
-                out.append((int(toxic == 1), len(words), sum(model.of(w) > 0 for w in words)))
-            yield pd.DataFrame(out, columns=["toxic", "n", "hits"])
+            out = [(toxic, *scorers[fold].hits(text)) for text, toxic, fold in zip(b["text"], b["toxic"], b["fold"], strict=True)]
+            yield pd.DataFrame(out, columns=["toxic", "n", "places", "scores"])
 
-    share = rows.select("text", "toxic").mapInPandas(hits, "toxic int, n long, hits long").groupBy("toxic").agg(F.sum("n"), F.sum("hits")).collect()
+    seen = written(rows.select("text", "toxic", "fold").mapInPandas(hits, "toxic int, n long, places array<int>, scores array<double>"), "hits")
+    share = seen.groupBy("toxic").agg(F.sum("n"), F.sum(F.size("places"))).collect()
     rate = {r[0]: (r[2] + 0.5) / (r[1] + 1.0) for r in share}
     p, q = rate.get(0, 1e-4), rate.get(1, 1e-2)
-    model.drift = min(LEAST_DRIFT, math.log((1 - q) / (1 - p)))
-    model.cache.clear()
+    model.drift = min(LEAST_DRIFT, math.log(max(1e-9, 1 - q) / max(1e-9, 1 - p)))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(int(toxic == 1), *passages(text, model)[:2]) for text, toxic in zip(b["text"], b["toxic"], strict=True)], columns=["toxic", "n", "best"])
+            yield pd.DataFrame({"n": b["n"], "best": [passages(*x, model)[0] for x in zip(b["n"], b["places"], b["scores"], strict=True)]})
 
-    top = rows.select("text", "toxic").mapInPandas(best, "toxic int, n long, best double").filter("toxic = 0 and n > 0").toPandas()
+    top = seen.filter("toxic = 0 and n > 0").select("n", "places", "scores").mapInPandas(best, "n long, best double").toPandas()
     # the best segment M of n clean words: scale * M - ln n follows a Gumbel law around ln K; its tail is exponential in M
-    some = top[top["best"] > 0]
-    if len(some) >= 20:
-        model.scale = float(min(3.0, max(0.3, 1 / some["best"].mean())))
-        model.log_k = float(np.log(max(1e-9, len(some) / top["n"].sum())))
-    else:
-        model.scale, model.log_k = 1.0, math.log(p)
+    # a few segments of mean 1 are taken for seen before, so that small samples give a scale too
+    some = top["best"][top["best"] > 0]
+    model.scale = float(min(3.0, max(0.3, (len(some) + 5) / (some.sum() + 5))))
+    model.log_k = math.log((len(some) + 0.5) / (float(top["n"].sum()) + 1))
 
     def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"toxic": (b["toxic"] == 1).astype(int), "x": [evidence(t, model) for t in b["text"]]})
+            yield pd.DataFrame({"toxic": b["toxic"], "x": [total(passages(*x, model)[1]) for x in zip(b["n"], b["places"], b["scores"], strict=True)]})
 
-    seen = rows.select("text", "toxic").mapInPandas(values, "toxic int, x double").toPandas().sort_values(["x", "toxic"])
+    seen = seen.mapInPandas(values, "toxic int, x double").toPandas().sort_values(["x", "toxic"])
     model.slope, model.shift = logistic(seen["x"].to_numpy(float), seen["toxic"].to_numpy(float))
-    model.cache.clear()
     return model
 
 
@@ -226,15 +277,17 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_passages, first_word, last_word) of every row of docs.
 
     The passage columns tell how many significant passages there are, and where the best one starts and ends (null for
-    none). Null texts are as empty ones: no evidence, the score of the curve at zero. A null doc_id isn't held out.
-    Repeated rows get equal rows; an empty table gives none; other columns are ignored.
+    none). Null texts are as empty ones: no evidence, the score of the curve at zero. Very long texts are scored as a whole.
+    A null doc_id isn't held out. Of passages with equal scores the first is the best. Repeated rows get equal rows; an
+    empty table gives none; other columns are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = model.scorer()
         for b in batches:
             out = []
             for text in b["text"]:
-                found = passages(text, model)[2]
+                found = passages(*scorer.hits(text), model)[1]
                 top = max(found, key=lambda x: x[2], default=(None, None))
                 score = probability(total(found), model)
                 out.append((score, int(score >= PREDICTED), len(found), top[0], top[1] - 1 if found else None))
@@ -252,13 +305,21 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean_only(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rows that are predicted toxic, all columns as they were."""
+    """docs without the rows that are predicted toxic, written, all columns as they were.
+
+    Null, empty and wordless texts have no evidence and stay; very long texts are judged as a whole. Rows with null or
+    repeated doc_ids are judged by their own text, so repeated rows stay or go together. An empty table gives no rows;
+    columns other than text are kept and not looked at, whatever their names.
+    """
 
     @F.pandas_udf("boolean")
-    def toxic(texts: pd.Series) -> pd.Series:
-        return pd.Series([probability(evidence(t, model), model) >= PREDICTED for t in texts])
+    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = model.scorer()
+        for texts in batches:
+            yield pd.Series([probability(total(passages(*scorer.hits(t), model)[1]), model) >= PREDICTED for t in texts])
 
-    return docs.filter(~toxic(F.col("text")))
+    with batch_rows(docs.sparkSession):
+        return written(docs.filter(~toxic(F.col("text"))), "clean")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -276,6 +276,41 @@ def test_toxicity_on_held_out_rows(spark):
     assert out[5000].score == out[5001].score < 0.7
 
 
+@pytest.mark.parametrize("n", [300, 3000])
+def test_few_labels_teach_too(spark, n):
+    """200 labelled rows or 2000: the words that toxic rows share are learnt, and clean rows are left alone."""
+    rng = random.Random(n)
+    bad = ["vilefool", "scumbag", "wretch", "dimwit"]
+    rows = []
+    for i in range(n):
+        w, toxic = words(rng, rng.randint(20, 150)), i % 6 == 0
+        for _ in range(rng.randint(3, 6) if toxic else 0):
+            w.insert(rng.randint(0, len(w)), rng.choice(bad))
+        rows.append((i, " ".join(w), int(toxic)))
+    d, lab = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, t) for i, _, t in rows if i % 3 < 2], "doc_id long, toxic int")
+    out = {r.doc_id: r.predicted for r in toxicity.scored(d, toxicity.fit(d, lab)).filter("held_out").collect()}
+    toxic = [out[i] for i, _, t in rows if t and i in out]
+    assert sum(toxic) >= 0.9 * len(toxic)
+    assert sum(out[i] for i, _, t in rows if not t and i in out) <= 0.01 * len(out)
+
+
+def test_scores_are_as_by_the_definition(spark):
+    """Every word a score, all segments of the whole sequence, their sum on the curve: against the sparse form that workers use."""
+    rng = random.Random(31)
+    m = toxicity.Model({"bad": (5.0, 2.5), "wors*": (4.0, 1.25), "worse": (3.0, 9.0)}, drift=-0.3, scale=0.8, log_k=-3.0, slope=2.0, shift=-3.0)
+    texts = [None, "", " - ", "bad", "Worst WORSE bad"] + [" ".join(rng.choice(["x", "bad", "worst", "worse", "é", "fine"]) for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    texts += [" ".join(["x"] * 40_000 + ["bad"] * 5 + ["y"] * 40_000)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.scored(d, m).collect():
+        w = (texts[r.doc_id] or "").lower().replace("-", " ").split()
+        found = [(a, b, 0.8 * x + 3.0 - np.log(len(w))) for a, b, x in toxicity.segments([{"bad": 2.5, "worst": 1.25, "worse": 1.25}.get(x, -0.3) for x in w])]
+        found = [x for x in found if x[2] >= 0]
+        score = 1 / (1 + np.exp(-(2.0 * np.log1p(sum(x[2] for x in found)) - 3.0)))
+        best = max(found, key=lambda x: x[2], default=(None, None, None))
+        assert abs(r.score - score) < 1e-9 and r.n_passages == len(found) and r.predicted == int(score >= 0.7)
+        assert (r.first_word, r.last_word) == (best[0], best[1] and best[1] - 1)
+
+
 def test_toxicity_without_labels(docs, spark):
     m = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert toxicity.scored(docs, m).count() == len(corpus())
