@@ -18,8 +18,12 @@ PYTHON_ROWS = 500
 #: Buckets that a class of rows is dealt to before its rows are numbered.
 NUMBERING_BUCKETS = 256
 
-#: Bits of the filter by which rows without a partner are left out before a shuffle.
-FILTER_BITS = 1 << 25
+#: Bits for each key of the filter by which rows without a partner are left out before a shuffle, and bits in all at most:
+#: 16 MB, at any number of keys.
+BITS_PER_KEY = 16
+MOST_FILTER_BITS = 1 << 27
+#: Bits in a row of that filter.
+ROW_BITS = 1 << 16
 
 _written: list[tuple[SparkSession, str]] = []
 _local: list[str] = []
@@ -102,33 +106,72 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
 
 
+def _set_bits(places: DataFrame, bits: int, row_bits: int) -> DataFrame:
+    """(row, words): rows of row_bits / 64 longs each, in which the bits at `at` of places are set."""
+    spark, each = places.sparkSession, row_bits // 64
+    words = places.groupBy(F.shiftright("at", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("b"))
+    words = words.unionByName(spark.range(bits // 64).withColumn("b", F.lit(0).cast("long")))
+    words = words.groupBy("id").agg(F.bit_or("b").alias("b"))
+    in_row = F.array_sort(F.collect_list(F.struct((F.col("id") % each).alias("i"), "b")))
+    return words.groupBy(F.floor(F.col("id") / each).alias("row")).agg(F.transform(in_row, lambda x: x["b"]).alias("words"))
+
+
+def bit_array(keys: DataFrame, bits: int) -> Column:
+    """One array of `bits` / 64 longs in which the long keys (one column) are marked: a scalar subquery, so in no plan's text.
+
+    bits is a power of two that the caller bounds.
+    """
+    at = keys.toDF("k").select(F.col("k").bitwiseAND(F.lit(bits - 1).cast("long")).alias("at"))
+    return written(_set_bits(at, bits, bits).select("words"), "bits").scalar()
+
+
+def has_bit(words: Column, bits: int):
+    """A test whether a long key is marked in the array; of unmarked ones some pass."""
+
+    def test(key: Column) -> Column:
+        at = key.bitwiseAND(F.lit(bits - 1).cast("long"))
+        return F.getbit(F.get(words, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+
+    return test
+
+
+def _marked(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """rows with a boolean _hit: true for every row whose key is in keys, and for a few others."""
+    bits, wanted = ROW_BITS, min(MOST_FILTER_BITS, BITS_PER_KEY * keys.count())
+    while bits < wanted:
+        bits *= 2
+    # never null, so that the join adds no filter that would compute the key again
+    bit = F.xxhash64(key).bitwiseAND(F.lit(bits - 1).cast("long"))
+    table_ = written(_set_bits(keys.select(bit.alias("at")), bits, ROW_BITS), "filter").withColumnsRenamed({"row": "_r", "words": "_words"})
+    marked = rows.withColumn("_p", bit).withColumn("_r", F.shiftright("_p", 16)).join(F.broadcast(table_), "_r")
+    at = F.col("_p").bitwiseAND(F.lit(ROW_BITS - 1).cast("long"))
+    hit = F.getbit(F.get("_words", F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+    return marked.select(*(F.col(f"`{c}`") for c in rows.columns), hit.alias("_hit"))
+
+
 def likely(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """The rows whose key is in keys, and a few others: what is left out needs no shuffle.
 
-    Keys are marked in FILTER_BITS bits, so what is broadcast is 8 MB at most whatever the number of keys; with very many
-    of them more rows pass, none is lost.
+    Keys are marked in BITS_PER_KEY bits each and MOST_FILTER_BITS in all, so what is broadcast has a bound; with very
+    many of them more rows pass, none is lost. keys is read twice: pass a written table.
     """
-    # never null, so that the join adds no filter that would compute the key again
-    bit = F.xxhash64(key).bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
-    words = keys.select(bit.alias("_p")).groupBy(F.shiftright("_p", 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_p & 63 as int))")).alias("_bits"))
-    marked = rows.withColumn("_p", bit).withColumn("_w", F.shiftright("_p", 6))
-    hit = F.getbit("_bits", F.col("_p").bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
-    return marked.join(F.broadcast(words), "_w").filter(hit).select(*rows.columns)
+    return _marked(rows, key, keys).filter("_hit").drop("_hit")
 
 
 def without(docs: DataFrame, keys: list[Column], drop: DataFrame, once: bool = False) -> DataFrame:
     """docs without the rows whose keys are in drop, compared null-safely; once: of rows with equal keys one stays.
 
-    The row travels as one struct, so its columns may have any names.
+    A row whose key a filter of bounded size rules out stays where it is; only the others are shuffled. A row travels as
+    one struct, so its columns may have any names.
     """
     names = [f"k{i}" for i in range(len(keys))]
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(k.alias(n) for k, n in zip(keys, names, strict=True)))
-    gone = drop.toDF(*(f"d{i}" for i in range(len(keys)))).distinct()
-    same = F.lit(True)
-    for i, n in enumerate(names):
-        same = same & F.col(n).eqNullSafe(F.col(f"d{i}"))
-    kept = packed.join(gone, same, "left_anti")
-    return (kept.dropDuplicates(names) if once else kept).select("row.*")
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.struct(*(k.alias(n) for k, n in zip(keys, names, strict=True))).alias("key"))
+    gone = written(drop.toDF(*names).select(F.struct(*names).alias("key")).distinct(), "gone")
+    if once:
+        return packed.join(gone, "key", "left_anti").dropDuplicates(["key"]).select("row.*")
+    marked = _marked(packed, "key", gone)
+    kept = marked.filter("not _hit").select("row")
+    return kept.unionByName(marked.filter("_hit").join(gone, "key", "left_anti").select("row")).select("row.*")
 
 
 def numbered(rows: DataFrame, classes: list[str], order: list[str], name: str, buckets: int = NUMBERING_BUCKETS) -> DataFrame:

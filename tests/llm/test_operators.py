@@ -538,6 +538,94 @@ def test_decontamination_windows_are_as_by_brute_force(spark):
     assert set(rows_of(out, "doc_id", "item_id")) == want
 
 
+def test_a_benchmark_beyond_the_broadcast_gives_the_same(spark, monkeypatch):
+    rng = random.Random(15)
+    items = [(i, " ".join(words(rng, rng.randint(3, 20)))) for i in range(30)] + [(50, "all of them share these few words")]
+    docs = [(i, " ".join(words(rng, 20) + (rng.choice(items)[1] if i % 2 else "").split() + "so all of them share these few words x".split())) for i in range(400)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = Counter(map(tuple, decontamination.contaminated(d, b).collect()))
+    assert len(want) > 550 and len([1 for r in want if r[1] == 50]) == 400
+    monkeypatch.setattr(decontamination, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(decontamination, "MOST_BITS", 1 << 10)
+    assert Counter(map(tuple, decontamination.contaminated(d, b).collect())) == want
+
+
+def plain_canonical(word):
+    return "#" if word[0].isdigit() else "@" if word[0].isupper() else word
+
+
+def plain_contaminated(item, doc):
+    """By the definition, for texts in which every capitalised word follows another word; None below the containment."""
+    size = min(5, len(item))
+    cut = lambda t: [tuple(map(plain_canonical, t[i : i + size])) for i in range(len(t) - size + 1)]
+    ours, theirs = cut(doc), cut(item)
+    width, need = len(set(theirs)), 0.8 * len(set(theirs)) - 1e-9
+    if len(set(ours) & set(theirs)) < need:
+        return None
+    if not any(plain_canonical(w) in "#@" for w in item):
+        return True
+    hits = [(p - q, q, p) for q, w in enumerate(theirs) for p, v in enumerate(ours) if v == w]
+    for start in {h[0] for h in hits}:
+        taken = {}
+        for shift, q, p in sorted(h for h in hits if start <= h[0] < start + width):
+            taken.setdefault(q, p)
+        values = defaultdict(set)
+        for q, p in taken.items():
+            for k in range(size):
+                if plain_canonical(item[q + k]) in "#@":
+                    values[item[q + k].lower()].add(doc[p + k].lower())
+        if len({theirs[q] for q in taken}) >= need and all(len(v) == 1 for v in values.values()):
+            return True
+    return False
+
+
+def test_slots_are_as_by_brute_force(spark):
+    """Words inserted, left out and changed, values swapped for all or for some places, two occurrences, stray windows."""
+    rng = random.Random(16)
+    names, plain = "Berlin Madrid Paris Oslo Rome Bern".split(), "so it goes from there and back by then".split()
+    item = lambda n: ["the", *(rng.choice([rng.choice(plain), rng.choice(plain), rng.choice(names[:3]), str(rng.randint(1, 3))]) for _ in range(n))]
+    items = [item(n) for n in (1, 2, 3, 5, 8, 12, 18, 18, 25, 25, 40)] + [["the", "train", "from", "Berlin", "to", "Rome", "leaves", "Berlin", "at", "5"] * 2]
+
+    def changed(t):
+        mapping = {v: rng.choice([v, rng.choice(names), str(rng.randint(4, 9))]) for v in t if plain_canonical(v) in "#@"}
+        mapping = {v: x if plain_canonical(v) == plain_canonical(x) else v for v, x in mapping.items()}
+        t = [mapping.get(w, w) for w in t]
+        for _ in range(rng.choice([0, 0, 0, 1, 2])):
+            k = rng.randrange(len(t) + 1)
+            kind = rng.randrange(4)
+            if kind == 0:
+                t[k:k] = ["extra"]
+            elif kind == 1 and len(t) > 1:
+                del t[k : k + 1]
+            elif kind == 2:
+                t[k:k] = t[:6]
+            elif k < len(t) and plain_canonical(t[k]) in "#@":
+                t[k] = rng.choice(names) if plain_canonical(t[k]) == "@" else str(rng.randint(4, 9))
+        return t
+
+    docs = []
+    for _ in range(250):
+        t = ["so"]
+        for _ in range(rng.randint(1, 3)):
+            t += [*words(rng, rng.randint(0, 12)), *changed(list(rng.choice(items)))]
+        docs.append([w for w in t if w])
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.contaminated for r in decontamination.contaminated(d, b).collect()}
+    want = {(i, j): c for i, t in enumerate(docs) for j, x in enumerate(items) if (c := plain_contaminated(x, t)) is not None}
+    assert got == want
+    assert len(want) > 300 and sum(want.values()) > 200 and len(want) - sum(want.values()) > 20
+
+
+def test_an_inserted_word_makes_no_slot_consistent(spark):
+    item = "the train that leaves from Berlin at nine goes by way of some other town where it waits for half an hour or a little more and then turns back to Berlin"
+    texts = [item.replace("Berlin", "Madrid", 1), item.replace("Berlin", "Madrid", 1).replace("way of", "way indeed of"), item.replace("Berlin", "Madrid").replace("way of", "way indeed of")]
+    texts += ["a quick little phrase inside a sentence", "a quick phrase", "long " * 30_000 + item]
+    d, b = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(0, item), (1, "quick little phrase")], "item_id long, text string")
+    out = {(r.doc_id, r.item_id): r.contaminated for r in decontamination.contaminated(d, b).collect()}
+    assert out == {(0, 0): False, (1, 0): False, (2, 0): True, (3, 1): True, (5, 0): True}
+
+
 # 9
 
 
