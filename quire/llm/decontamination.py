@@ -29,7 +29,7 @@ WINDOW = 5
 CONTAINMENT = 0.8
 MOST_BROADCAST = 1_000_000
 #: Bits of the array by which a document's windows are left out, for each window of the benchmark, and in all.
-BITS_PER_WINDOW = 64
+BITS_PER_WINDOW = 1024
 MOST_BITS = 1 << 24
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
 #: Fixed list: units that follow a number.
@@ -43,16 +43,23 @@ _NAME = r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}+)"
 _UNIT = rf"(?<=[0-9]) ?({'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))}|[%$€£])(?![\p{{L}}\p{{N}}])"
 
 
-def tokens(text: Column) -> Column:
-    """Words of the text in lower case; slots start with the placeholder of their type and end with their value."""
-    t = F.coalesce(text, F.lit(""))
-    marked = t.contains(NAME) | t.contains(NUMBER) | t.contains(UNIT)
-    t = F.when(marked, F.translate(t, NAME + NUMBER + UNIT, "   ")).otherwise(t)
-    t = F.regexp_replace(t, _NAME, NAME + "$1")
-    t = F.when(text.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(t, _UNIT, f" {UNIT}u$1 "), "([0-9]+)", f" {NUMBER}$1 ")).otherwise(t)
-    t = F.regexp_replace(F.lower(t), r"[^a-z0-9\x01-\x03\x{80}-\x{10FFFF}%$ ]+", " ")
-    t = F.when(t.contains("%") | t.contains("$"), F.regexp_replace(t, r"(?<![\x03u])[%$]", "")).otherwise(t)
-    return F.filter(F.split(t, " "), lambda w: w != "")
+def tokenised(rows: DataFrame) -> DataFrame:
+    """rows (text and others) with `words` for text: its words in lower case; slots start with the placeholder of their type and
+    end with their value.
+
+    What is used several times is a column of its own, so that it is computed once.
+    """
+    others = [c for c in rows.columns if c != "text"]
+    text = F.coalesce("text", F.lit(""))
+    marked = text.contains(NAME) | text.contains(NUMBER) | text.contains(UNIT)
+    named = F.regexp_replace(F.when(marked, F.translate(text, NAME + NUMBER + UNIT, "   ")).otherwise(text), _NAME, NAME + "$1")
+    rows = rows.select(*others, named.alias("named"))
+    numbers = F.regexp_replace(F.regexp_replace("named", _UNIT, f" {UNIT}u$1 "), "([0-9]+)", f" {NUMBER}$1 ")
+    low = F.lower(F.when(F.col("named").rlike("[0-9]"), numbers).otherwise(F.col("named")))
+    rows = rows.select(*others, F.regexp_replace(low, r"[^a-z0-9\x01-\x03\x{80}-\x{10FFFF}%$ ]+", " ").alias("low"))
+    signs = F.col("low").contains("%") | F.col("low").contains("$")
+    low = F.when(signs, F.regexp_replace("low", r"(?<![\x03u])[%$]", "")).otherwise(F.col("low"))
+    return rows.select(*others, F.filter(F.split(low, " "), lambda w: w != "").alias("words"))
 
 
 def _canonical(word: Column) -> Column:
@@ -63,10 +70,16 @@ def _hashes(words: str) -> Column:
     return F.transform(words, lambda w: F.xxhash64(_canonical(w)))
 
 
+def _window_at(hashes: str, at: Column, length: int) -> Column:
+    """Hash of the window of that length that begins there, null if it doesn't fit."""
+    each = F.xxhash64(*(F.get(F.col(hashes), at + k) for k in range(length)))
+    return F.when(at + length <= F.size(hashes), each)
+
+
 def _windows(hashes: str, length: int) -> Column:
     """Hashes of the windows of that length, in order."""
     n = F.size(hashes)
-    each = F.transform(F.sequence(F.lit(0), n - length), lambda i: F.xxhash64(*(F.get(F.col(hashes), i + k) for k in range(length))))
+    each = F.transform(F.sequence(F.lit(0), n - length), lambda i: _window_at(hashes, i, length))
     return F.when(n >= length, each).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -82,7 +95,7 @@ def _placed(benchmark: DataFrame) -> DataFrame:
     """(item_id, src, length, q, w, theirs): windows of the items with their places and the slots in them; src is an item's
     text, of which several may have one id."""
     items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
-    items = items.select("item_id", F.xxhash64("text").alias("src"), tokens(F.col("text")).alias("words")).withColumn("h", _hashes("words"))
+    items = tokenised(items.select("item_id", F.xxhash64("text").alias("src"), "text")).withColumn("h", _hashes("words"))
     length = F.least(F.size("words"), F.lit(WINDOW))
     own = F.when(length == WINDOW, _windows("h", WINDOW))
     for k in range(1, WINDOW):
@@ -109,9 +122,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
         bits *= 2
     lengths = {WINDOW} | {r[0] for r in placed.select("length").distinct().collect()}
     known = has_bit(bit_array(placed.select("w"), bits), bits)
-    rows = docs.select(*_key(), tokens(F.col("text")).alias("words")).select(F.struct("doc_id", "_text").alias("key"), _hashes("words").alias("h"))
-    # outer, so that no filter is pushed below and computes the windows again
-    seen = rows.select("key", F.explode_outer(F.concat(*(_windows("h", k) for k in sorted(lengths)))).alias("w"))
+    rows = tokenised(docs.select(F.struct(*_key()).alias("key"), F.col("text").cast("string"))).select("key", _hashes("words").alias("h"))
+    # outer, so that no filter is pushed below and computes the hashes again
+    places = rows.select("key", "h", F.posexplode_outer("h").alias("i", "_"))
+    seen = places.select("key", *(_window_at("h", F.col("i"), k).alias(f"w{k}") for k in sorted(lengths)))
+    seen = seen.select("key", F.explode(F.array(*(f"w{k}" for k in sorted(lengths)))).alias("w") if len(lengths) > 1 else F.col(f"w{WINDOW}").alias("w"))
     each = written(seen.filter(known(F.col("w"))).distinct(), "hits")
     pairs = written(_pairs(each, placed, containment, few), "pairs")
     hits = each.join(pairs, "key", "left_semi").groupBy("key").agg(F.collect_list("w").alias("hits"))
@@ -160,9 +175,9 @@ def _attached(met: DataFrame, items: DataFrame) -> DataFrame:
 def _consistent(docs: DataFrame, open_: DataFrame, placed: DataFrame, lengths: set[int], containment: float) -> DataFrame:
     """(key, item_id) of the pairs of which some occurrence reaches the containment and fills its slots consistently."""
     pairs = open_.select(F.struct("doc_id", "_text").alias("key"), "item_id")
-    keyed = docs.select(F.struct(*_key()).alias("key"), F.col("text").alias("_body"))
+    keyed = docs.select(F.struct(*_key()).alias("key"), F.col("text").cast("string"))
     mine = likely(keyed, "key", pairs.select("key")).join(pairs.select("key").distinct(), "key").dropDuplicates(["key"])
-    rows = mine.select("key", tokens(F.col("_body")).alias("words")).withColumn("h", _hashes("words"))
+    rows = tokenised(mine).withColumn("h", _hashes("words"))
 
     def with_slots(length: int) -> Column:
         return F.transform(_windows("h", length), lambda w, p: F.struct(w.alias("w"), p.alias("p"), _slots("words", p, length).alias("ours")))
