@@ -34,10 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is named, as in tests."""
+    """The shared folder that the cluster names; a local one only where none is named and all runs in one process, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="quire-"))
     return "file://" + _local[0]
@@ -91,6 +93,21 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(_key, doc_id, text) of every row, and whether several rows share a doc_id.
+
+    _key is the doc_id where one row only has it, else a hash of doc_id and text, which equal rows share.
+    """
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    several = written(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"), "several")
+    own = F.xxhash64("doc_id", "text")
+    if (n := several.count()) == 0:
+        return rows.select(F.coalesce("doc_id", own).alias("_key"), "doc_id", "text"), False
+    several = several.withColumn("_several", F.lit(True))
+    met = rows.join(F.broadcast(several) if n <= 1_000_000 else several, "doc_id", "left")
+    return met.select(F.when(F.col("_several").isNull(), F.coalesce("doc_id", own)).otherwise(own).alias("_key"), "doc_id", "text"), True
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """rows joined with groups, which has one row for each key and in `size` how many rows have it.
 

@@ -7,13 +7,19 @@ hold the same passage, their windows around it have the same least hash, for eve
 similarity s, for about a share s of the functions.
 
 1. Windows of HASHES functions meet by that hash and another shingle REACH before or behind it, so that texts which
-   share just one line don't meet. Within a batch of documents equal keys are merged at once: the first
-   window stands for the others, which are linked with it (its own document's with another document); so a key in a third of all rows is shuffled once a batch.
+   share just one line don't meet. Equal keys of a batch of documents, and those that were frequent in the partition
+   before, are merged at once: the first window stands for the others, which are linked with it (its own document's with
+   another document); so a key in a third of all rows is shuffled about once a partition.
 2. Sorted by key, each window is linked with the first one of its key. No pairs within a group are made.
 3. Links of a pair of documents are joined by their intervals; a candidate is a run of overlapping intervals in which
    ENOUGH hash functions agree.
 4. The shingles of both sides are fetched and compared: the passage is the stretch, from one shared shingle to another, in
    which at least four of five are shared, and both sides' sets must have a Jaccard similarity of SIMILARITY or more.
+5. The first of a key may share the key only, as a line of under 50 words, and the others a passage. So windows whose link
+   was not verified meet again, by more than the key. Every range of LEAST_SHINGLES around the window's least hash that
+   the verified passage doesn't hold meets by the hash of all its shingles: whoever shares it then shares the passage,
+   and no exact passage is lost. Where nothing was verified, windows also meet by the least hashes, under other functions,
+   of what is before and behind, which finds passages with edits. Steps 2 to 4 follow for these.
 """
 
 from __future__ import annotations
@@ -28,9 +34,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.common import attach, batch_rows, likely, table, written
+from quire.llm.common import attach, batch_rows, keyed, likely, table, written
 from quire.llm.components import components
-from quire.llm.simhash import shingle_hashes, words_of
+from quire.llm.simhash import words_of
 from quire.llm.toxicity import segments
 
 SHINGLE = 5
@@ -44,13 +50,48 @@ SIMILARITY = 0.8
 #: Documents whose windows are merged before they are shuffled; and rows of an Arrow batch.
 SLICE = 300
 ROWS = 3000
+#: Keys whose first window a task remembers.
+FREQUENT = 200_000
+#: Stretches of a document that are fetched together.
+SPANS = 5000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 _LOW = np.uint64(0xFFFF)
 
 
+class _WordHashes(dict):
+    """Hashes of words, remembered up to a number."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1_000_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, 0)
+        return h
+
+
+_WORDS = _WordHashes()
+
+
 def shingles(text: str | None) -> np.ndarray:
+    """Hashes of the shingles, each a polynomial of its words' hashes; none for fewer than LEAST_WORDS words."""
     words = words_of(text)
-    return shingle_hashes(words, SHINGLE, 0) if len(words) >= LEAST_WORDS else np.zeros(0, dtype=np.uint64)
+    if len(words) < LEAST_WORDS:
+        return np.zeros(0, dtype=np.uint64)
+    w = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
+    n = len(w) - SHINGLE + 1
+    h = w[:n].copy()
+    for k in range(1, SHINGLE):
+        h = h * _MULTIPLIERS[1] + w[k : k + n]
+    return mixed(h, 2)
+
+
+def range_hashes(h: np.ndarray, least: int = LEAST_SHINGLES) -> np.ndarray:
+    """The hash of each range of `least` shingles, by sums over powers of an odd number and of its inverse."""
+    m = int(_MULTIPLIERS[3])
+    powers = lambda x: np.multiply.accumulate(np.concatenate([[1], np.full(len(h) - 1, x)]).astype(np.uint64))
+    up, down = powers(np.uint64(m)), powers(np.uint64(pow(m, -1, 1 << 64)))
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.add.accumulate(h * up)])
+    n = len(h) - least + 1
+    return mixed((sums[least:] - sums[:n]) * down[:n], 3)
 
 
 def mixed(x: np.ndarray, function: int) -> np.ndarray:
@@ -117,15 +158,62 @@ def _others(new: np.ndarray, alone: np.ndarray) -> np.ndarray:
     return out[group]
 
 
+class _Frequent:
+    """The first windows of keys that were frequent in earlier batches of a partition, up to a number of them."""
+
+    def __init__(self):
+        self.rows = np.zeros((0, 6), dtype=np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Index of each key's row, or -1."""
+        if not len(self.rows):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.rows[:, 0], keys), len(self.rows) - 1)
+        return np.where(self.rows[at, 0] == keys, at, -1)
+
+    def add(self, rows: np.ndarray) -> None:
+        """rows of new keys; where there are too many, the older ones go, as they only save shuffling."""
+        if len(rows):
+            kept = self.rows if len(self.rows) + len(rows) <= FREQUENT else self.rows[:0]
+            a = np.concatenate([kept, rows[:FREQUENT]])
+            self.rows = a[np.argsort(a[:, 0], kind="stable")]
+
+
+def _merged(a: np.ndarray, frequent: _Frequent) -> Iterator[pa.RecordBatch]:
+    """Rows (key, doc, l, c, r, f) of a batch; those with equal keys as links with the first of them or with a frequent one."""
+    a = a[np.lexsort((a[:, 3], a[:, 1], a[:, 0]))]
+    first, new = _linked(a[:, 0], None)
+    # a passage that one document repeats isn't linked with itself, but with the first other document of its key;
+    # where the batch has none, it meets the other batches like the first row
+    alone = a[first, 1] == a[:, 1]
+    second = _others(new, alone)
+    lone = (first == np.arange(len(a))) | (alone & (second < 0))
+    lead = a[np.where(alone & ~lone, second, first)]
+    at = frequent.find(a[:, 0])
+    known = frequent.rows[np.maximum(at, 0)] if len(frequent.rows) else np.zeros_like(a)
+    again = lone & (at >= 0) & (known[:, 1] != a[:, 1])
+    lead, lone = np.where(again[:, None], known, lead), lone & ~again
+    often = (first != np.arange(len(a))) & ~alone
+    often = np.unique(first[often])
+    frequent.add(a[often[at[often] < 0]])
+    # a link needs no meeting any more: its own key only spreads it
+    key = np.where(lone, a[:, 0], mixed(a[:, 0].view(np.uint64) ^ a[:, 1].view(np.uint64), 1).view(np.int64))
+    columns = {"key": key, "doc": a[:, 1], "l": a[:, 2], "c": a[:, 3], "r": a[:, 4], "f": a[:, 5], "doc2": lead[:, 1], "l2": lead[:, 2], "c2": lead[:, 3], "r2": lead[:, 4]}
+    for at in range(0, len(a), 50_000):
+        cut = slice(at, at + 50_000)
+        yield _batch({k: v[cut] for k, v in columns.items()}, lone[cut])
+
+
 def windows(docs: DataFrame) -> DataFrame:
-    """Windows by key, those of a batch with the same key merged; where doc2 is set, a row is a link found already."""
+    """Windows of docs (_key, text) by key, those of a batch with the same key merged; where doc2 is set, a row is a link found already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = _Frequent()
         for b in (x.slice(at, SLICE) for x in batches for at in range(0, x.num_rows, SLICE)):
             parts = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for doc, text in zip(b.column("_key").to_pylist(), b.column("text").to_pylist(), strict=True):
                 h = shingles(text)
-                if doc is None or len(h) < LEAST_SHINGLES:
+                if len(h) < LEAST_SHINGLES:
                     continue
                 for f in range(HASHES):
                     w = np.array(compact_windows(mixed(h, f)), dtype=np.int64)
@@ -133,29 +221,61 @@ def windows(docs: DataFrame) -> DataFrame:
                         v = w[(w[:, 1] + side >= w[:, 0]) & (w[:, 1] + side < w[:, 2])]
                         key = mixed(h[v[:, 1]] + mixed(h[v[:, 1] + side], (f + 1) % 4) + np.uint64(2 * f + (side > 0)), f).view(np.int64)
                         parts.append(np.column_stack([key, np.full(len(v), doc), v, np.full(len(v), f)]))
-            if not parts:
-                continue
-            a = np.concatenate(parts)
-            a = a[np.lexsort((a[:, 3], a[:, 1], a[:, 0]))]
-            first, new = _linked(a[:, 0], None)
-            # a passage that one document repeats isn't linked with itself, but with the first other document of its key;
-            # where the batch has none, it meets the other batches like the first row
-            alone = a[first, 1] == a[:, 1]
-            second = _others(new, alone)
-            lone = (first == np.arange(len(a))) | (alone & (second < 0))
-            lead = a[np.where(alone & ~lone, second, first)]
-            # a link needs no meeting any more: its own key only spreads it
-            key = np.where(lone, a[:, 0], mixed(a[:, 0].view(np.uint64) ^ a[:, 1].view(np.uint64), 1).view(np.int64))
-            columns = {"key": key, "doc": a[:, 1], "l": a[:, 2], "c": a[:, 3], "r": a[:, 4], "f": a[:, 5], "doc2": lead[:, 1], "l2": lead[:, 2], "c2": lead[:, 3], "r2": lead[:, 4]}
-            for at in range(0, len(a), 50_000):
-                cut = slice(at, at + 50_000)
-                yield _batch({k: v[cut] for k, v in columns.items()}, lone[cut])
+            if parts:
+                yield from _merged(np.concatenate(parts), frequent)
+
+    return docs.select("_key", "text").mapInArrow(run, _KINDS)
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _KINDS)
+def narrower(docs: DataFrame, unverified: DataFrame) -> DataFrame:
+    """Like windows(), by more of the text: for unverified windows (doc, f, c, l, r, s, e), where [s, e) is the verified
+    passage around c, if any."""
+    texts = likely(docs.select(F.col("_key").alias("doc"), "text"), "doc", unverified.select("doc").distinct())
+    per_doc = unverified.groupBy("doc").agg(F.collect_list(F.struct("f", "c", "l", "r", "s", "e")).alias("spans"))
+    met = texts.dropna().dropDuplicates(["doc"]).join(per_doc.hint("merge"), "doc")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = _Frequent()
+        for b in (x.slice(at, SLICE) for x in batches for at in range(0, x.num_rows, SLICE)):
+            parts = []
+            for doc, text, spans in zip(*(b.column(k).to_pylist() for k in ("doc", "text", "spans")), strict=True):
+                h = shingles(text)
+                wanted = np.zeros(len(h), dtype=bool)
+                others: dict[int, np.ndarray] = {}
+                rows = []
+                for x in spans:
+                    f, c, left, right, s, e = x["f"], x["c"], max(x["l"], x["c"] - LEAST_SHINGLES + 1), min(x["r"], x["c"] + LEAST_SHINGLES), x["s"], x["e"]
+                    if f == 0:
+                        last = min(c, right - LEAST_SHINGLES) + 1
+                        if s is None or e - s < LEAST_SHINGLES:
+                            wanted[left:last] = True
+                        else:
+                            wanted[left : min(s, last)] = True
+                            wanted[max(left, e - LEAST_SHINGLES + 1) : last] = True
+                    if s is None:
+                        for g in range(4):
+                            if g != f:
+                                others.setdefault(g, mixed(h, g))
+                                for side, part in enumerate((others[g][left:c], others[g][c + 1 : right])):
+                                    if len(part) >= REACH // 2:
+                                        rows.append((int(part.min()) ^ int(h[c]), f, g, side, c, x["l"], x["r"]))
+                if rows:
+                    seed, f, g, side, c, left, right = (np.array(v) for v in zip(*((np.uint64(r[0]), *r[1:]) for r in rows), strict=True))
+                    key = mixed(seed.astype(np.uint64) + (8 * f + 2 * g + side + 16).astype(np.uint64), 1).view(np.int64)
+                    parts.append(np.column_stack([key, np.full(len(key), doc), left, c, right, f]))
+                x = np.flatnonzero(wanted)
+                if len(x):
+                    key = range_hashes(h)[x].view(np.int64)
+                    parts.append(np.column_stack([key, np.full(len(x), doc), x, x, x + LEAST_SHINGLES, np.full(len(x), HASHES)]))
+            if parts:
+                yield from _merged(np.concatenate(parts), frequent)
+
+    return met.mapInArrow(run, _KINDS)
 
 
 def links(found: DataFrame) -> DataFrame:
-    """(a, b, f, lo_a, hi_a, lo_b, hi_b): windows linked with the first of their key, cut to the extent both have.
+    """(a, b, f, lo_a, hi_a, lo_b, hi_b, of_b, c, l, r, c2, l2, r2): windows linked with the first of their key, cut to the
+    extent both have; the linked window itself is (c, l, r), in b if of_b, else in a, and the first one is (c2, l2, r2).
 
     Further windows of the first one's document wait for the key's first window of another document.
     """
@@ -211,19 +331,20 @@ def links(found: DataFrame) -> DataFrame:
                 )
             swap = x["doc"] < y["doc"]
             lo, hi = {k: np.where(swap, x[k], y[k]) for k in x}, {k: np.where(swap, y[k], x[k]) for k in x}
+            own = [np.where(swap, p[k], q[k]).astype(np.int32) for p, q in ((lo, hi), (hi, lo)) for k in ("c", "l", "r")]
             left = np.minimum(lo["c"] - lo["l"], hi["c"] - hi["l"])
             right = np.minimum(lo["r"] - lo["c"], hi["r"] - hi["c"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(z) for z in (lo["doc"], hi["doc"], f.astype(np.int32), lo["c"] - left, lo["c"] + right, hi["c"] - left, hi["c"] + right)],
-                names=["a", "b", "f", "lo_a", "hi_a", "lo_b", "hi_b"],
+                [pa.array(z) for z in (lo["doc"], hi["doc"], f.astype(np.int32), lo["c"] - left, lo["c"] + right, hi["c"] - left, hi["c"] + right, ~swap, *own)],
+                names=["a", "b", "f", "lo_a", "hi_a", "lo_b", "hi_b", "of_b", "c", "l", "r", "c2", "l2", "r2"],
             )
 
-    return by_key.mapInArrow(run, "a long, b long, f int, lo_a long, hi_a long, lo_b long, hi_b long")
+    return by_key.mapInArrow(run, "a long, b long, f int, lo_a long, hi_a long, lo_b long, hi_b long, of_b boolean, c int, l int, r int, c2 int, l2 int, r2 int")
 
 
 def candidates(linked: DataFrame, enough: int = ENOUGH) -> DataFrame:
     """(a, b, lo_a, hi_a, lo_b, hi_b) of the runs of overlapping intervals in which enough hash functions agree."""
-    linked = linked.filter(F.col("hi_b") - F.col("lo_b") >= LEAST_SHINGLES).distinct()
+    linked = linked.filter(F.col("hi_b") - F.col("lo_b") >= LEAST_SHINGLES).select("a", "b", "f", "lo_a", "hi_a", "lo_b", "hi_b").distinct()
     order = Window.partitionBy("a", "b").orderBy("lo_b", "hi_b", "lo_a", "f")
     reach = F.max("hi_b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = linked.withColumn("new", F.coalesce((F.col("lo_b") >= reach).cast("int"), F.lit(1)))
@@ -270,12 +391,33 @@ def compare(a: np.ndarray, b: np.ndarray, least: int = LEAST_SHINGLES, similarit
     for p, q in _unbroken(shared, 0, len(b)):
         if q - p >= least and not any(x[2] <= p and q <= x[3] for x in out):
             test(p, q)
+    # what is one stretch on one side only, as where passages overlap, holds equal ranges all the same
+    known = np.isin(a, b)
+    if any(q - p >= least and not any(x[k] <= p and q <= x[k + 1] for x in out) for k, of in ((2, shared), (0, known)) for p, q in _unbroken(of, 0, len(of))):
+        out += [x for x in _equal_ranges(a, b, least) if not any(y[0] <= x[0] and x[1] <= y[1] and y[2] <= x[2] and x[3] <= y[3] for y in out)]
     if not out and min(len(a), len(b)) >= least:
         j = _jaccard(a, b)
         out = [(0, len(a), 0, len(b), j)] if j >= similarity else []
     return out
 
 
+def _equal_ranges(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int, int, float]]:
+    """Equal runs of `least` or more, so that each range of either side that the other one has too is in one of them."""
+    if min(len(a), len(b)) < least:
+        return []
+    x, y = (range_hashes(v.view(np.uint32).astype(np.uint64) if v.dtype == np.int32 else v, least) for v in (a, b))
+    out = set()
+    for there, here, turned in ((x, y, False), (y, x, True)):
+        order = np.argsort(there, kind="stable")
+        at = order[np.minimum(np.searchsorted(there[order], here), len(there) - 1)]
+        i = np.flatnonzero(there[at] == here)
+        for run in np.split(i, np.flatnonzero((np.diff(i) != 1) | (np.diff(at[i]) != 1)) + 1):
+            if len(run):
+                p, q = (int(at[run[0]]), int(at[run[-1]]) + least), (int(run[0]), int(run[-1]) + least)
+                out.add((*q, *p, 1.0) if turned else (*p, *q, 1.0))
+    return sorted(out)
+
+
 def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     one, two = set(a.tolist()), set(b.tolist())
     return len(one & two) / max(1, len(one | two))
@@ -304,8 +446,10 @@ def _unbroken(shared: np.ndarray, s: int, e: int) -> list[tuple[int, int]]:
 
 def _stretches(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(side, n, digest, h): the shingles, in 32 bits, of each wanted stretch side (doc, lo, hi), which n candidates have."""
-    texts = likely(docs.select(F.col("doc_id").cast("long").alias("doc"), "text"), "doc", wanted)
-    per_doc = wanted.groupBy("doc").agg(F.collect_set(F.struct("lo", "hi", "n")).alias("spans"))
+    texts = likely(docs.select(F.col("_key").alias("doc"), "text"), "doc", wanted)
+    of_doc = F.count(F.lit(1)).over(Window.partitionBy("doc"))
+    parts = wanted.withColumn("part", F.pmod(F.xxhash64("lo", "hi"), 1 + F.floor(of_doc / SPANS)))
+    per_doc = parts.groupBy("doc", "part").agg(F.collect_set(F.struct("lo", "hi", "n")).alias("spans"))
     met = texts.dropna().join(per_doc.hint("merge"), "doc")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -325,16 +469,48 @@ def _stretches(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _once(parts: DataFrame) -> DataFrame:
-    """parts with one row for each side: several only where rows share a doc_id."""
+    """parts with one row for each side: several only where equal rows are repeated."""
     repeated = parts.groupBy("side").count().filter("count > 1")
     return parts if repeated.isEmpty() else written(parts.dropDuplicates(["side"]), "sides")
 
 
+def _unverified(linked: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc, f, c, l, r, s, e): linked windows around whose least hash the pair's verified passage doesn't hold all that a
+    passage could; [s, e) is that passage, nulls for none. Windows of the other functions only where there is none; then
+    the first window of the key comes too, as it may have been the right one and the search too coarse."""
+    inside = (F.col("s") <= F.col("c")) & (F.col("c") < F.col("e"))
+    side = lambda k, other, own: linked.filter(own).select("a", "b", F.col(k).alias("doc"), F.col(other).alias("doc2"), "f", "c", "l", "r", "c2", "l2", "r2").join(
+        found.select("a", "b", F.col(f"start_{k}").alias("s"), (F.col(f"end_{k}") - SHINGLE + 1).alias("e")), ["a", "b"], "left"
+    )
+    met = side("b", "a", F.col("of_b")).unionByName(side("a", "b", ~F.col("of_b")))
+    size = F.when(inside, F.col("e") - F.col("s"))
+    best = met.groupBy("doc", "f", "c", "l", "r").agg(F.max(F.struct(size.alias("size"), "s", "e")).alias("x"), F.max_by(F.struct("doc2", "c2", "l2", "r2"), F.coalesce(size, F.lit(-1))).alias("y"))
+    whole = F.col("x.size").isNotNull() & (F.col("x.s") <= F.greatest("l", F.col("c") - LEAST_SHINGLES + 1)) & (F.col("x.e") >= F.least("r", F.col("c") + LEAST_SHINGLES))
+    found_one = F.col("x.size").isNotNull()
+    best = written(best.filter(~whole & ((F.col("f") == 0) | ~found_one)), "best")
+    none = F.lit(None).cast("int")
+    own = best.select("doc", "f", "c", "l", "r", F.when(found_one, F.col("x.s")).cast("int").alias("s"), F.when(found_one, F.col("x.e")).cast("int").alias("e"))
+    lead = best.filter(~found_one).select(F.col("y.doc2").alias("doc"), "f", F.col("y.c2").alias("c"), F.col("y.l2").alias("l"), F.col("y.r2").alias("r"), none.alias("s"), none.alias("e"))
+    return own.unionByName(lead.distinct())
+
+
 def shared_passages(docs: DataFrame) -> DataFrame:
-    """(a, b, start_a, end_a, start_b, end_b, similarity): verified links, a < b, in words from 0 with the end excluded."""
+    """(a, b, start_a, end_a, start_b, end_b, similarity): verified links of docs (_key, text), a < b, in words from 0 with
+    the end excluded."""
     with batch_rows(docs.sparkSession, ROWS):
         linked = written(links(windows(docs)), "links")
-    pairs = written(candidates(linked), "pairs")
+    found = written(_verified(docs, written(candidates(linked), "pairs")), "found")
+    unverified = written(_unverified(linked, found), "unverified")
+    with batch_rows(docs.sparkSession, ROWS):
+        linked = written(links(narrower(docs, unverified)), "links")
+    held = found.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "start_b", (F.col("end_b") - SHINGLE + 1).alias("end_b"))
+    same = (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))
+    new = candidates(linked, 1).join(held, same & (F.col("lo_b") >= F.col("start_b")) & (F.col("hi_b") <= F.col("end_b")), "left_anti")
+    return found.unionByName(_verified(docs, written(new, "pairs")))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The passages of the candidates."""
     side = lambda k: F.struct(F.col(k).alias("doc"), F.col(f"lo_{k}").alias("lo"), F.col(f"hi_{k}").alias("hi"))
     sides = pairs.select(side("a").alias("s")).unionByName(pairs.select(side("b").alias("s"))).select("s.*")
     counted = written(sides.groupBy("doc", "lo", "hi").agg(F.count(F.lit(1)).alias("n")), "counted")
@@ -369,21 +545,32 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     Words are numbered from 0; overlapping passages of a document are joined. class_id is the least doc_id of the documents
     that passages link, directly or through others; n_links counts the verified links that the passage joins. Documents
-    without such a passage, null or short texts have no row. Rows without a doc_id are ignored; rows with an equal doc_id
-    are one document. Empty tables give no rows; other columns are ignored, whatever their names.
+    without such a passage, null or short texts have no row; very long texts are read whole. Rows without a doc_id are
+    ignored; rows that share a doc_id are one document if their texts are equal, else documents of their own with one
+    doc_id. Empty tables give no rows; other columns are ignored, whatever their names.
     """
+    rows, several = keyed(docs.filter("doc_id is not null"))
+    merged = _merged_passages(rows)
+    if not several:
+        return merged.select(F.col("key").alias("doc_id"), "first_word", "last_word", F.col("class").alias("class_id"), "n_links")
+    merged = written(merged.join(rows.select(F.col("_key").alias("key"), "doc_id").distinct(), "key"), "merged")
+    classes = merged.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    return merged.join(classes, "class").select("doc_id", "first_word", "last_word", "class_id", "n_links")
+
+
+def _merged_passages(docs: DataFrame) -> DataFrame:
     found = written(shared_passages(docs), "passages")
-    ends = found.select(F.col("a").alias("doc_id"), F.col("start_a").alias("s"), F.col("end_a").alias("e")).unionByName(
-        found.select(F.col("b").alias("doc_id"), F.col("start_b").alias("s"), F.col("end_b").alias("e"))
+    ends = found.select(F.col("a").alias("key"), F.col("start_a").alias("s"), F.col("end_a").alias("e")).unionByName(
+        found.select(F.col("b").alias("key"), F.col("start_b").alias("s"), F.col("end_b").alias("e"))
     )
-    ends = ends.groupBy("doc_id", "s", "e").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("doc_id").orderBy("s", "e")
+    ends = ends.groupBy("key", "s", "e").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("key").orderBy("s", "e")
     reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = ends.withColumn("new", F.coalesce((F.col("s") > reach).cast("int"), F.lit(1)))
     runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = runs.groupBy("doc_id", "run").agg(F.min("s").alias("first_word"), (F.max("e") - 1).alias("last_word"), F.sum("n").alias("n_links"))
-    classes = components(found.select("a", "b")).withColumnRenamed("id", "doc_id")
-    return merged.join(classes, "doc_id").select("doc_id", "first_word", "last_word", F.col("component").alias("class_id"), "n_links")
+    merged = runs.groupBy("key", "run").agg(F.min("s").alias("first_word"), (F.max("e") - 1).alias("last_word"), F.sum("n").alias("n_links"))
+    classes = components(found.select("a", "b")).withColumnRenamed("id", "key")
+    return merged.join(classes, "key").select("key", "first_word", "last_word", F.col("component").alias("class"), "n_links")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -502,6 +502,58 @@ def test_a_document_that_repeats_a_passage_has_all_places(spark, monkeypatch, si
     assert out == {(0, 30, 89), (0, 290, 349), (1, 0, 59)}
 
 
+@pytest.mark.parametrize("length", [50, 52, 60])
+def test_a_line_of_a_passage_hides_no_passages(spark, length):
+    """A document with the first 49 words only comes first, and the two that share the passage must still meet."""
+    rng = random.Random(length)
+    rows = []
+    for g in range(100):
+        p = words(rng, length)
+        rows += [(3 * g, " ".join(words(rng, 20) + p[:49] + words(rng, 40))), (3 * g + 1, " ".join(words(rng, 30) + p + words(rng, 40))), (3 * g + 2, " ".join(words(rng, 10) + p + words(rng, 40)))]
+    out = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r.doc_id, r.first_word, r.last_word) for r in out}
+    want = {(3 * g + 1, 30, 29 + length) for g in range(100)} | {(3 * g + 2, 10, 9 + length) for g in range(100)}
+    assert want <= got and {d for d, _, _ in got} == {d for d, _, _ in want}
+
+
+def test_exact_passages_are_as_by_all_pairs(spark):
+    """Every document that shares 50 words with another one, by the ranges of 50 words of all pairs."""
+    rng = random.Random(17)
+    pool = [words(rng, rng.choice([44, 49, 50, 51, 53, 60, 90])) for _ in range(25)]
+    rows = []
+    for i in range(160):
+        w = words(rng, rng.randint(0, 60))
+        for _ in range(rng.randint(0, 3)):
+            p = rng.choice(pool)
+            k = rng.choice([0, 0, rng.randint(0, len(p))])
+            w += [*(p[k:] if rng.random() < 0.5 else p[: len(p) - k]), *words(rng, rng.randint(0, 30))]
+        rows.append((i, " ".join(w)))
+    ranges = defaultdict(set)
+    for i, t in rows:
+        for k in range(len(t.split()) - 49):
+            ranges[tuple(t.split()[k : k + 50])].add((i, k))
+    want = defaultdict(set)
+    for places in ranges.values():
+        if len({i for i, _ in places}) > 1:
+            for i, k in places:
+                want[i] |= set(range(k, k + 50))
+    got = defaultdict(set)
+    for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id] |= set(range(r.first_word, r.last_word + 1))
+    assert set(want) <= set(got) and len(want) > 60
+    missed = sum(len(want[i] - got[i]) for i in want)
+    assert missed <= 0.002 * sum(map(len, want.values())), "words of exact passages without a row"
+    assert sum(len(got[i] - want[i]) for i in got) <= 0.15 * sum(map(len, got.values())), "the rest are passages with edits"
+
+
+def test_passages_of_rows_that_share_a_doc_id(spark):
+    rng = random.Random(18)
+    p, q = words(rng, 70), words(rng, 70)
+    rows = [(5, p + words(rng, 30)), (5, q + words(rng, 40)), (6, words(rng, 9) + p), (3, words(rng, 8) + q), (8, p + words(rng, 5)), (8, p + words(rng, 6)), (9, p[:1] * 60), (9, p[:1] * 60)]
+    out = substring_dedup.repeated_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.first_word, r.class_id) for r in out} == {(5, 0, 5), (6, 9, 5), (8, 0, 5), (5, 0, 3), (3, 8, 3)}
+
+
 # 8
 
 
