@@ -50,6 +50,8 @@ SIMILARITY = 0.8
 #: Documents whose windows are merged before they are shuffled; and rows of an Arrow batch.
 SLICE = 300
 ROWS = 3000
+#: Shingles that a task holds at once, about.
+SLICE_SHINGLES = 400_000
 #: Keys whose first window a task remembers.
 FREQUENT = 200_000
 #: Stretches of a document that are fetched together.
@@ -87,8 +89,8 @@ def shingles(text: str | None) -> np.ndarray:
 def range_hashes(h: np.ndarray, least: int = LEAST_SHINGLES) -> np.ndarray:
     """The hash of each range of `least` shingles, by sums over powers of an odd number and of its inverse."""
     m = int(_MULTIPLIERS[3])
-    powers = lambda x: np.multiply.accumulate(np.concatenate([[1], np.full(len(h) - 1, x)]).astype(np.uint64))
-    up, down = powers(np.uint64(m)), powers(np.uint64(pow(m, -1, 1 << 64)))
+    one = np.ones(1, dtype=np.uint64)
+    up, down = (np.multiply.accumulate(np.concatenate([one, np.full(len(h) - 1, x, dtype=np.uint64)])) for x in (m, pow(m, -1, 1 << 64)))
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.add.accumulate(h * up)])
     n = len(h) - least + 1
     return mixed((sums[least:] - sums[:n]) * down[:n], 3)
@@ -101,27 +103,29 @@ def mixed(x: np.ndarray, function: int) -> np.ndarray:
     return y ^ (y >> np.uint64(31))
 
 
-def compact_windows(x: np.ndarray, least: int = LEAST_SHINGLES) -> list[tuple[int, int, int]]:
-    """(l, c, r) of all compact windows of at least `least` items.
+def compact_windows(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int = LEAST_SHINGLES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(l, c, r) of all compact windows of at least `least` items in the sequences x[start:end], level by level of their trees.
 
     The lowest 16 bits are replaced by a mix of the position, so that equal hashes, as of a repeated line, are split about
     evenly and the tree stays shallow. Any of several equal minima is a right one.
     """
-    n = len(x)
-    if n < least:
-        return []
-    ties = (np.arange(n, dtype=np.uint64) * _MULTIPLIERS[0]) >> np.uint64(48)
+    place = np.arange(len(x)) - np.repeat(starts, ends - starts)
+    ties = (place.astype(np.uint64) * _MULTIPLIERS[0]) >> np.uint64(48)
     x = (x & ~_LOW) | (ties & _LOW)
-    out, work = [], [(0, n)]
-    while work:
-        a, b = work.pop()
-        c = a + int(x[a:b].argmin())
-        out.append((a, c, b))
-        if c - a >= least:
-            work.append((a, c))
-        if b - c - 1 >= least:
-            work.append((c + 1, b))
-    return out
+    found = []
+    a, b = starts[ends - starts >= least], ends[ends - starts >= least]
+    while len(a):
+        n = b - a
+        begin = np.cumsum(n) - n
+        at = np.arange(int(n.sum())) + np.repeat(a - begin, n)
+        v = x[at]
+        hit = np.flatnonzero(v == np.repeat(np.minimum.reduceat(v, begin), n))
+        _, first = np.unique(np.searchsorted(begin, hit, "right"), return_index=True)
+        c = at[hit[first]]
+        found.append((a, c, b))
+        left, right = c - a >= least, b - c - 1 >= least
+        a, b = np.concatenate([a[left], c[right] + 1]), np.concatenate([c[left], b[right]])
+    return tuple(np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 3
 
 
 _COLUMNS = ["key", "doc", "l", "c", "r", "f", "doc2", "l2", "c2", "r2"]
@@ -204,25 +208,42 @@ def _merged(a: np.ndarray, frequent: _Frequent) -> Iterator[pa.RecordBatch]:
         yield _batch({k: v[cut] for k, v in columns.items()}, lone[cut])
 
 
+def _keyed_windows(held: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Rows (key, doc, l, c, r, f) of the windows of documents' shingles."""
+    h, docs = np.concatenate([x for _, x in held]), np.array([d for d, _ in held], dtype=np.int64)
+    ends = np.cumsum([len(x) for _, x in held])
+    starts = ends - [len(x) for _, x in held]
+    parts = []
+    for f in range(HASHES):
+        w = compact_windows(mixed(h, f), starts, ends)
+        other = mixed(h, (f + 1) % 4)
+        for side in (-REACH, REACH):
+            left, c, right = (v[(w[1] + side >= w[0]) & (w[1] + side < w[2])] for v in w)
+            key = mixed(h[c] + other[c + side] + np.uint64(2 * f + (side > 0)), f).view(np.int64)
+            of = np.searchsorted(ends, c, "right")
+            base = starts[of]
+            parts.append(np.column_stack([key, docs[of], left - base, c - base, right - base, np.full(len(c), f)]))
+    return np.concatenate(parts)
+
+
 def windows(docs: DataFrame) -> DataFrame:
     """Windows of docs (_key, text) by key, those of a batch with the same key merged; where doc2 is set, a row is a link found already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = _Frequent()
         for b in (x.slice(at, SLICE) for x in batches for at in range(0, x.num_rows, SLICE)):
-            parts = []
+            held: list[tuple[int, np.ndarray]] = []
+            size = 0
             for doc, text in zip(b.column("_key").to_pylist(), b.column("text").to_pylist(), strict=True):
                 h = shingles(text)
-                if len(h) < LEAST_SHINGLES:
-                    continue
-                for f in range(HASHES):
-                    w = np.array(compact_windows(mixed(h, f)), dtype=np.int64)
-                    for side in (-REACH, REACH):
-                        v = w[(w[:, 1] + side >= w[:, 0]) & (w[:, 1] + side < w[:, 2])]
-                        key = mixed(h[v[:, 1]] + mixed(h[v[:, 1] + side], (f + 1) % 4) + np.uint64(2 * f + (side > 0)), f).view(np.int64)
-                        parts.append(np.column_stack([key, np.full(len(v), doc), v, np.full(len(v), f)]))
-            if parts:
-                yield from _merged(np.concatenate(parts), frequent)
+                if len(h) >= LEAST_SHINGLES:
+                    held.append((doc, h))
+                    size += len(h)
+                if size > SLICE_SHINGLES:
+                    yield from _merged(_keyed_windows(held), frequent)
+                    held, size = [], 0
+            if held:
+                yield from _merged(_keyed_windows(held), frequent)
 
     return docs.select("_key", "text").mapInArrow(run, _KINDS)
 
@@ -394,15 +415,16 @@ def compare(a: np.ndarray, b: np.ndarray, least: int = LEAST_SHINGLES, similarit
     # what is one stretch on one side only, as where passages overlap, holds equal ranges all the same
     known = np.isin(a, b)
     if any(q - p >= least and not any(x[k] <= p and q <= x[k + 1] for x in out) for k, of in ((2, shared), (0, known)) for p, q in _unbroken(of, 0, len(of))):
-        out += [x for x in _equal_ranges(a, b, least) if not any(y[0] <= x[0] and x[1] <= y[1] and y[2] <= x[2] and x[3] <= y[3] for y in out)]
+        out += _equal_ranges(a, b, least, out)
     if not out and min(len(a), len(b)) >= least:
         j = _jaccard(a, b)
         out = [(0, len(a), 0, len(b), j)] if j >= similarity else []
     return out
 
 
-def _equal_ranges(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int, int, float]]:
-    """Equal runs of `least` or more, so that each range of either side that the other one has too is in one of them."""
+def _equal_ranges(a: np.ndarray, b: np.ndarray, least: int, held: list[tuple[int, int, int, int, float]]) -> list[tuple[int, int, int, int, float]]:
+    """Equal runs of `least` or more, so that each range of either side that the other one has too is in one of them or in one
+    of those held."""
     if min(len(a), len(b)) < least:
         return []
     x, y = (range_hashes(v.view(np.uint32).astype(np.uint64) if v.dtype == np.int32 else v, least) for v in (a, b))
@@ -410,7 +432,11 @@ def _equal_ranges(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, i
     for there, here, turned in ((x, y, False), (y, x, True)):
         order = np.argsort(there, kind="stable")
         at = order[np.minimum(np.searchsorted(there[order], here), len(there) - 1)]
-        i = np.flatnonzero(there[at] == here)
+        new = there[at] == here
+        for v in held:
+            p, q = v[:2] if turned else v[2:4]
+            new[p : max(p, q - least + 1)] = False
+        i = np.flatnonzero(new)
         for run in np.split(i, np.flatnonzero((np.diff(i) != 1) | (np.diff(at[i]) != 1)) + 1):
             if len(run):
                 p, q = (int(at[run[0]]), int(at[run[-1]]) + least), (int(run[0]), int(run[-1]) + least)
@@ -505,7 +531,8 @@ def shared_passages(docs: DataFrame) -> DataFrame:
         linked = written(links(narrower(docs, unverified)), "links")
     held = found.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "start_b", (F.col("end_b") - SHINGLE + 1).alias("end_b"))
     same = (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))
-    new = candidates(linked, 1).join(held, same & (F.col("lo_b") >= F.col("start_b")) & (F.col("hi_b") <= F.col("end_b")), "left_anti")
+    exact = F.col("f") == HASHES
+    new = candidates(linked.filter(exact), 1).unionByName(candidates(linked.filter(~exact))).join(held, same & (F.col("lo_b") >= F.col("start_b")) & (F.col("hi_b") <= F.col("end_b")), "left_anti")
     return found.unionByName(_verified(docs, written(new, "pairs")))
 
 
