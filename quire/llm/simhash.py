@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import attach, batch_rows, table, without, written
+from quire.llm.common import attach, batch_rows, keyed, likely, table, without, written
 from quire.llm.components import components
 
 SEED = 42
@@ -238,7 +238,8 @@ def _bands(words: list[bytes]) -> np.ndarray:
 
 
 def _set_prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, table, fp): fingerprints over the different words of a text, one with each table's seed; then the bands."""
+    """(doc_id, table, fp) of docs (_key, text): fingerprints over the different words of a text, one with each table's seed;
+    then the bands. doc_id is the _key."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -255,7 +256,7 @@ def _set_prints(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": np.repeat(b["doc_id"].to_numpy(), TABLES + BANDS), "table": np.tile(np.arange(TABLES + BANDS), len(b)), "fp": out.ravel()})
 
     with batch_rows(docs.sparkSession):
-        return written(docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null").mapInPandas(run, "doc_id long, table int, fp long"), "set_prints")
+        return written(docs.select(F.col("_key").alias("doc_id"), "text").mapInPandas(run, "doc_id long, table int, fp long"), "set_prints")
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -265,26 +266,44 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "n": b["n"], "shingles": [np.unique(shingle_hashes(words_of(t), SHINGLE, SEED)).view(np.int64) for t in b["text"]]})
 
-    met = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id")
+    met = likely(docs.select(F.col("_key").alias("doc_id"), "text"), "doc_id", wanted.select("doc_id")).join(wanted, "doc_id")
     with batch_rows(docs.sparkSession):
         return written(met.mapInPandas(run, "doc_id long, n long, shingles array<long>"), "shingle_sets").dropDuplicates(["doc_id"])
 
 
 def verified_pairs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(x, y, jaccard), x < y: candidates of the fingerprint tables and bands whose shingle sets are similar enough.
+    """(x, y, jaccard), x < y, for docs (_key, text): candidates of the fingerprint tables and bands whose shingle sets are
+    similar enough, by their _key.
 
-    Documents with one fingerprint or band are compared with the least of them, others by the links of their fingerprints.
+    Documents with one fingerprint or band are compared with one of them, drawn anew in each table and band, so that one
+    which is unlike the others in its group hides them in few of their groups only. Those that are unlike it meet again,
+    grouped by the next band's key too, with one of their own. Other documents meet by the links of their fingerprints.
     """
     rows = _set_prints(docs)
-    prints = written(rows.groupBy("table", "fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "prints")
+    prints = written(rows.groupBy("table", "fp").agg(F.min_by("doc_id", F.xxhash64("doc_id", "table")).alias("rep"), F.count(F.lit(1)).alias("size")), "prints")
     sets = prints.filter(F.col("table") < TABLES)
     most = sets.groupBy("table").count().agg(F.max("count")).first()[0] or 0
     near = links(sets.select("fp", "table"), most, SET_THRESHOLD, SET_BITS, ("table",))
     side = lambda k, rep: sets.select("table", F.col("fp").alias(k), F.col("rep").alias(rep))
     near = near.join(side("a", "x"), ["table", "a"]).join(side("b", "y"), ["table", "b"]).select("x", "y")
     keyed = F.struct("table", "fp").alias("key")
-    same = attach(written(rows.select(keyed, "doc_id"), "same"), written(prints.filter("size > 1").select(keyed, "rep", "size"), "reps"), "key", "size").select(F.col("rep").alias("x"), F.col("doc_id").alias("y"))
-    pairs = near.unionByName(same).filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    same = attach(written(rows.select(keyed, "doc_id"), "same"), written(prints.filter("size > 1").select(keyed, "rep", "size"), "reps"), "key", "size").select("key", F.col("rep").alias("x"), F.col("doc_id").alias("y"))
+    same = written(same.select("key", "x", "y"), "same_pairs")
+    found = written(_similar(docs, near.unionByName(same.select("x", "y")), similarity), "similar")
+    # members unlike the one they were compared with: their group, less those that are like it, by one more key
+    like = found.select("x", "y").unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    unlike = same.filter("x <> y").join(like, ["x", "y"], "left_anti").select("key", F.col("y").alias("doc_id"))
+    following = rows.select("doc_id", (F.col("table") - 1).alias("before"), F.col("fp").alias("next"))
+    again = unlike.filter(F.col("key.table").between(TABLES, TABLES + BANDS - 2)).withColumn("before", F.col("key.table")).join(following, ["doc_id", "before"])
+    again = written(again.select(F.struct("key", "next").alias("key"), "doc_id"), "again")
+    reps = again.groupBy("key").agg(F.min_by("doc_id", F.xxhash64("doc_id", "key")).alias("rep"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    pairs = attach(again, written(reps, "again_reps"), "key", "size").select(F.col("rep").alias("x"), F.col("doc_id").alias("y"))
+    return found.unionByName(_similar(docs, pairs, similarity))
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """(x, y, jaccard), x < y, of the pairs whose shingle sets are similar enough."""
+    pairs = pairs.filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     pairs = written(pairs, "pairs")
     ends = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id")))
     sets = written(_shingle_sets(docs, written(ends.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "ends")), "sets")
@@ -298,7 +317,17 @@ def verified_pairs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one document, the one with the least doc_id, of each group of near-duplicates; all columns as they were.
 
-    Groups are what verified pairs connect. Rows without a doc_id stay; rows with equal doc_ids stay or go together.
+    Groups are what verified pairs connect. Null and wordless texts are one group; very long texts are compared whole.
+    Rows without a doc_id, and rows that share one, are told apart by their text, which then also decides between them;
+    equal rows stay or go together. An empty table gives no rows; other columns may have any names.
     """
-    groups = components(written(verified_pairs(docs, similarity).select(F.col("x").alias("a"), F.col("y").alias("b")), "near"))
-    return without(docs, [F.col("doc_id").cast("long")], groups.filter("id <> component").select("id"))
+    rows, several = keyed(docs)
+    pairs = verified_pairs(rows, similarity).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    groups = components(written(pairs, "near"))
+    drop = groups.filter("id <> component").select(F.col("id").alias("_key"))
+    doc_id = F.col("doc_id").cast("long")
+    if not several:
+        return without(docs, [F.coalesce(doc_id, F.xxhash64(doc_id, F.col("text").cast("string")))], drop)
+    text = F.xxhash64(F.col("text").cast("string"), F.length("text"))
+    drop = rows.join(written(drop, "drop"), "_key", "left_semi").select("doc_id", F.xxhash64("text", F.length("text")))
+    return without(docs, [doc_id, text], drop)
