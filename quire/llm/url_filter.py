@@ -6,7 +6,8 @@ from which the levels were built, the answer is exact for every page, and pages
 are scalar subqueries of one row.
 
 A filter has a proven bound: keys are dealt by hash to passes of about MOST_KEYS listed keys, each with a cascade of its
-own, and a pass judges the pages of its keys only. Only DataFrame functions are used.
+own. Where there are several, urls and keys are written by pass, so that each pass reads its own part and all are read
+once. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import table, written
+from quire.llm.common import new_path, table, written
 
 #: Fixed rules: verdict, host, path.
 RULES = [
@@ -23,8 +24,8 @@ RULES = [
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 ]
-#: Hosts whose keys the production list holds: a label that names advertising or tracking.
-AD_LABEL = r"(^|[.-])(ads?|adserver|track|tracker|tracking|banners?|popups?)([.-]|$)"
+#: The production list holds the keys of thin pages: those that were served with fewer bytes than this at least once.
+THIN_BYTES = 1500
 BITS_PER_KEY = 8
 HASHES = 4
 LEAST_BITS = 1 << 10
@@ -100,11 +101,19 @@ def member(key: Column, levels: list[tuple[DataFrame, int]]) -> Column:
     return out
 
 
+def _dealt(rows: DataFrame, passes: int, name: str) -> DataFrame:
+    """rows written by pass, one folder each, so that a filter on the pass reads no other."""
+    spark, path = rows.sparkSession, new_path(rows.sparkSession, name)
+    dealt = rows.withColumn("pass", F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(passes)).cast("int"))
+    dealt.write.partitionBy("pass").parquet(path)
+    return spark.read.schema(dealt.schema).parquet(path)
+
+
 def judge(pages: DataFrame, listed: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, verdict, listed) of every row of pages.
 
     listed: (key), the keys to block where no rule fits; it may repeat keys or hold keys of no page. Null urls and those
-    without "://" have empty host and path, fit no rule and are allowed. Repeated rows and null page_ids stay; empty
+    without "://" have empty host and path, fit no rule and are allowed; very long ones are read whole. Repeated rows and null page_ids stay; empty
     tables give no rows; other columns are ignored.
     """
     host, path = host_and_path(F.col("url"))
@@ -116,30 +125,32 @@ def judge(pages: DataFrame, listed: DataFrame) -> DataFrame:
     universe = written(universe.select("key", "listed"), "universe")
     passes = max(1, -(-universe.filter("listed").count() // MOST_KEYS))
     rule, verdict = rule_of(F.col("host"), F.col("path"))
+    if passes > 1:
+        rows, universe = _dealt(rows, passes, "urls"), _dealt(universe, passes, "keys")
     out = None
     for k in range(passes):
-        mine = F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(passes)) == k if passes > 1 else F.lit(True)
-        levels = cascade(universe.filter(mine))
-        part = rows.filter(mine).withColumn("listed", (F.col("key") != "") & member(F.col("key"), levels))
+        mine, keys = (d.filter(F.col("pass") == k).drop("pass") if passes > 1 else d for d in (rows, universe))
+        part = mine.withColumn("listed", (F.col("key") != "") & member(F.col("key"), cascade(keys)))
         out = part if out is None else out.unionByName(part)
     by_list = F.when(F.col("listed"), "block").otherwise("allow")
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_list).alias("verdict"), "listed")
 
 
-def advertising(pages: DataFrame) -> DataFrame:
-    """The production list: keys of hosts that name advertising or tracking."""
+def thin_pages(pages: DataFrame, least: int = THIN_BYTES) -> DataFrame:
+    """The production list: (key) of pages with fewer than `least` bytes of html, placeholders and errors; null counts as empty."""
     host, path = host_and_path(F.col("url"))
-    return pages.select(host.alias("host"), path.alias("path")).filter(F.col("host").rlike(AD_LABEL)).select(key_of(F.col("host"), F.col("path")).alias("key"))
+    thin = F.octet_length(F.coalesce("html", F.lit(""))) < least
+    return pages.filter(thin).select(host.alias("host"), path.alias("path")).select(key_of(F.col("host"), F.col("path")).alias("key")).distinct()
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return judge(pages, advertising(pages))
+    return judge(pages, thin_pages(pages))
 
 
 OP9_SQL = rf"""
 WITH parts AS (
-  SELECT page_id,
+  SELECT page_id, strlen(coalesce(html, '')) < {THIN_BYTES} AS thin,
          translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
   FROM pages),
@@ -148,7 +159,7 @@ ruled AS (
                  WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
                  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
                  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
-         regexp_matches(host, '{AD_LABEL}') AS listed
+         host <> '' AND max(thin) OVER (PARTITION BY host || path) AS listed
   FROM parts)
 SELECT page_id, host, path, rule,
        CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow'

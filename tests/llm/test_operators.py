@@ -742,14 +742,16 @@ def test_urls(spark):
         (8, "http://notexample.com/de/"), (9, "http://ads.x.com/p"), (10, "http://y.net"), (11, "http://ads.x.com/p"), (None, ""),
     ]
     p = spark.createDataFrame([(*u, "h") for u in urls], "page_id long, url string, host string")
-    out = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(p, url_filter.advertising(p)).collect()}
+    out = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(p, spark.createDataFrame([("ads.x.com/p",), ("y.net",), ("gone/",)], "key string")).collect()}
     assert out[1] == ("a.example.net", "/en/x", "example.net/en/", "allow")
     assert out[2] == ("example.net", "/de/", "net/", "block")
     assert out[3] == ("b.org", "/fr/q", "org/fr/", "allow")
     assert out[4] == ("org", "/fr", None, "allow") and out[5] == out[6] == ("", "", None, "allow")
     assert out[7] == ("example.com", "/de/1://z", "example.com/de/", "block")
     assert out[8][2:] == (None, "allow") and out[9][2:] == (None, "block") == out[11][2:]
-    assert out[10] == ("y.net", "", None, "allow")
+    assert out[10] == ("y.net", "", None, "block")
+    thin = spark.createDataFrame([("http://A.b/c?d", "x"), ("http://A.b/c", "y" * 700), ("http://a.b/C", "é" * 299), ("http://a.b/d", "é" * 300), ("none", None)], "url string, html string")
+    assert sorted(rows_of(url_filter.thin_pages(thin, 600), "key")) == [("",), ("a.b/C",), ("a.b/c",)]
 
 
 @pytest.mark.parametrize("most", [40, 10**6])
@@ -804,7 +806,7 @@ def test_empty_tables(none, spark):
     for df in (
         simhash.near_duplicates(none), simhash.deduplicated(none), sharding.shard_documents(none), toxicity.scored(none, model), toxicity.clean_only(none, model), licenses.license_scan(none),
         packing.packed(none), exact_dedup.exact_groups(none), exact_dedup.deduplicated(none), substring_dedup.repeated_passages(none), decontamination.contaminated(none, bench),
-        decontamination.decontaminated(none, bench), url_filter.judge(pages, url_filter.advertising(pages)), warc.archived(pages),
+        decontamination.decontaminated(none, bench), url_filter.judge(pages, url_filter.thin_pages(pages)), warc.archived(pages),
     ):
         assert df.count() == 0
 
