@@ -155,6 +155,15 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).drop("_id")
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """rows with one of each group of copies, as those are one observation; else all words of a much copied text would be
+    evidence. Near copies mostly share the least hash of their shingles of three words."""
+    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+")
+    rows = rows.withColumn("_w", words)
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - 3, F.lit(0))), lambda i: F.xxhash64(*(F.get("_w", i + k) for k in range(3))))
+    return rows.withColumn("_least", F.array_min(grams)).dropDuplicates(["_least", "toxic"]).drop("_w", "_least")
+
+
 def _held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
@@ -213,7 +222,7 @@ def _evidence(tokens: pd.DataFrame, tested: int, sizes: np.ndarray, without: int
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model from rows with crc32(doc_id as text) mod 3 other than 1. Without labels of both kinds it knows no token."""
     with batch_rows(docs.sparkSession):
-        rows = written(_sample(docs, labels, sample), "sample")
+        rows = written(_once(_sample(docs, labels, sample)), "sample")
         sizes = np.zeros((FOLDS, 2), dtype=int)
         for fold, toxic, n in rows.groupBy("fold", "toxic").count().collect():
             sizes[fold][toxic] = n
