@@ -75,8 +75,9 @@ def merged_intervals(intervals: Column) -> Column:
 
 
 def union_area(boxes: Column) -> Column:
-    """Area covered by boxes: between neighbouring x-coordinates, the y-extent that the boxes there cover."""
-    ok = F.filter(boxes, lambda b: (b[2] > b[0]) & (b[3] > b[1]))
+    """Area covered by boxes: between neighbouring x-coordinates, the y-extent that the boxes there cover. Corners may be swapped."""
+    upright = F.transform(boxes, lambda b: F.array(F.least(b[0], b[2]), F.least(b[1], b[3]), F.greatest(b[0], b[2]), F.greatest(b[1], b[3])))
+    ok = F.filter(upright, lambda b: (b[2] > b[0]) & (b[3] > b[1]))
     xs = F.array_sort(F.array_distinct(F.flatten(F.transform(ok, lambda b: F.array(b[0], b[2])))))
     strips = F.transform(xs, lambda x, i: F.struct(x.alias("x"), F.get(xs, i + 1).alias("next")))
 

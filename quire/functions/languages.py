@@ -19,9 +19,11 @@ LIMITS = [
     ("opus", 512, 62, 3.5), ("translategemma", 2048, 200, 4.0), ("gemma", 2048, 200, 4.0), ("nllb", 1024, 74, 4.0), ("m2m100", 1024, 74, 4.0),
     ("mbart", 1024, 74, 4.0),
 ]
-#: Limits of backends, and of anything else.
-BACKEND_LIMITS = {"vllm": (2048, 128, 4.0), "gemma": (2048, 200, 4.0), "opus": (512, 62, 3.5), "nllb": (1024, 74, 4.0)}
+#: Limits of a backend that is no name part, and of anything else.
+VLLM_LIMIT = (2048, 128, 4.0)
 DEFAULT_LIMIT = (512, 62, 3.5)
+#: Limits by exact name, of models and of backends alike.
+NAMED_LIMITS = {name: tuple(limit) for name, *limit in LIMITS} | {"vllm": VLLM_LIMIT, "__default__": DEFAULT_LIMIT}
 #: Characters a token by script.
 SCRIPT_CHARACTERS = {"Latn": 4.0, "Cyrl": 3.0, "Arab": 3.5, "Grek": 3.5, "Hans": 1.5, "Hant": 1.5, "Jpan": 2.0, "Kore": 2.0}
 
@@ -57,15 +59,23 @@ def model_of(lang: Column, models: dict[str, str] = CT2_MODELS) -> Column:
     return F.coalesce(looked_up(models, language_key(lang)), F.lit(models["*"]))
 
 
-def limit_of(model: Column, backend: Column) -> Column:
-    """struct(tokens, margin, characters): by name part in order, then by backend, then the default."""
+def limit_of(model: Column, backend: Column, most_tokens: int | None = None, characters: float | None = None) -> Column:
+    """struct(tokens, margin, characters): by exact name, else by name part in order, else by backend, else the default.
+
+    most_tokens and characters, where given, take the place of what was found.
+    """
     made = lambda t, m, c: F.struct(F.lit(t).alias("tokens"), F.lit(m).alias("margin"), F.lit(c).alias("characters"))
-    low, out = F.lower(model), None
+    low, out = F.lower(model), F.when(F.lit(False), made(*DEFAULT_LIMIT))
+    for name, limit in NAMED_LIMITS.items():
+        out = out.when(model == name, made(*limit))
     for part, *limit in LIMITS:
-        out = F.when(low.contains(part), made(*limit)) if out is None else out.when(low.contains(part), made(*limit))
-    for name, limit in BACKEND_LIMITS.items():
+        out = out.when(low.contains(part), made(*limit))
+    for name, limit in NAMED_LIMITS.items():
         out = out.when(backend == name, made(*limit))
-    return out.otherwise(made(*DEFAULT_LIMIT))
+    out = out.otherwise(made(*DEFAULT_LIMIT))
+    if most_tokens is not None:
+        out = out.withField("tokens", F.lit(most_tokens))
+    return out if characters is None else out.withField("characters", F.lit(characters))
 
 
 def most_characters(limit: Column, characters: Column | None = None) -> Column:

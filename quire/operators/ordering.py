@@ -136,10 +136,10 @@ def set_dedup_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep_first(both, ["source", "page_id"], ["k"]).select("source", "page_id")
 
 
-@query("set_ordered_distinct", "SELECT doc_id, array_to_string(list_transform(list_sort(list_distinct(w)), lambda x: x), ' ') AS words FROM (SELECT doc_id, string_split(text, ' ')[1:6] AS w FROM documents)")
+@query("set_ordered_distinct", "SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS words FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)")
 def set_ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = F.array_distinct(F.slice(F.split("text", " ", -1), 1, 6))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(w), " ").alias("words"))
+    """The different words of a text in the order in which they first occur."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_distinct(F.split("text", " ", -1)), " ").alias("words"))
 
 
 @query("set_coords", "SELECT vec_id, len(list_distinct([vec_id % 7, vec_id % 5, vec_id % 3])) AS n FROM embeddings")

@@ -182,9 +182,9 @@ def fn_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", chunk.reassembled(F.split("text", "\n", -1)).alias("text"))
 
 
-@query("fn_max_chars", "SELECT 'opus' AS family, 1575 AS max_chars UNION ALL SELECT 'translategemma', 7392 UNION ALL SELECT 'gemma', 7392 UNION ALL SELECT 'nllb', 3800 UNION ALL SELECT 'm2m100', 3800 UNION ALL SELECT 'mbart', 3800 UNION ALL SELECT 'unknown', 1575")
+@query("fn_max_chars", "SELECT 'opus' AS family, 1575 AS max_chars UNION ALL SELECT 'translategemma', 7392 UNION ALL SELECT 'gemma', 7392 UNION ALL SELECT 'nllb', 3800 UNION ALL SELECT 'm2m100', 3800 UNION ALL SELECT 'mbart', 3800 UNION ALL SELECT 'unknown', 1575 UNION ALL SELECT 'vllm', 7680 UNION ALL SELECT 'google/TranslateGemma-12b-it', 7392 UNION ALL SELECT '__default__', 1575")
 def fn_max_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = spark.createDataFrame([(n,) for n in ("opus", "translategemma", "gemma", "nllb", "m2m100", "mbart", "unknown")], "family string")
+    f = spark.createDataFrame([(n,) for n in ("opus", "translategemma", "gemma", "nllb", "m2m100", "mbart", "unknown", "vllm", "google/TranslateGemma-12b-it", "__default__")], "family string")
     f = f.select("family", L.limit_of(F.col("family"), F.lit("ct2")).alias("limit"))
     return f.select("family", L.most_characters(F.col("limit")).alias("max_chars"))
 

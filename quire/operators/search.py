@@ -31,7 +31,7 @@ def branch(spark: SparkSession, sf_dir: str, source: str, q: str, limit: int, bl
     """Hits of original pages, page_mt, block_mt or original blocks."""
     none = F.lit(None).cast("string")
     if source == "page_original":
-        return _top(pages(spark, sf_dir).withColumn("lang", none).withColumnRenamed("markdown", "text"), "original", q, limit, 40, 15, start, stop)
+        return _top(pages(spark, sf_dir).withColumn("lang", none).withColumnRenamed("markdown", "text"), "page_original", q, limit, 40, 15, start, stop)
     if source == "page_mt":
         return _top(page_mt(spark, sf_dir), "page_mt", q, limit, 40, 15, start, stop)
     if source == "block_mt":
@@ -73,7 +73,7 @@ def _where(column: str, q: str = TERMS) -> str:
 
 V = f"WITH {VIEWS}"
 _BRANCHES = {
-    "fts_page_original": f"SELECT 'original' AS source, doc_id AS document_id, page_id, page_number, NULL::VARCHAR AS lang FROM p WHERE {_where('markdown')} ORDER BY doc_id DESC, page_number LIMIT 50",
+    "fts_page_original": f"SELECT 'page_original' AS source, doc_id AS document_id, page_id, page_number, NULL::VARCHAR AS lang FROM p WHERE {_where('markdown')} ORDER BY doc_id DESC, page_number LIMIT 50",
     "fts_page_mt": f"SELECT 'page_mt' AS source, doc_id AS document_id, page_id, page_number, 'en' AS lang, 'stub' AS model FROM p WHERE {_where('markdown')} ORDER BY doc_id DESC, page_number LIMIT 50",
     "fts_block_mt": f"SELECT 'block_mt' AS source, doc_id AS document_id, page_id, page_number, block_id, block_index, 'en' AS lang, 'stub' AS model FROM b WHERE {_where('text')} ORDER BY doc_id DESC, page_number, block_id LIMIT 50",
     "fts_block_original": f"SELECT 'block_original' AS source, doc_id AS document_id, page_id, page_number, block_id, block_index, NULL::VARCHAR AS lang FROM b WHERE {_where('text')} ORDER BY doc_id DESC, page_number, block_id LIMIT 50",

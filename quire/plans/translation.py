@@ -77,11 +77,11 @@ def mt_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unified(marked_pages(spark, sf_dir), own, translator(Stub, 10**6))
 
 
-@query("mt_legacy", f"{V} SELECT block_id, upper(replace(trim(text), 'ß', 'ss')) AS text FROM b WHERE lang <> 'en' AND trim(text) <> '' AND length(trim(text)) <= 1575")
+@query("mt_legacy", f"{V} SELECT block_id, regexp_replace(upper(replace(trim(text), 'ß', 'ss')), '\\s+', ' ', 'g') AS text FROM b WHERE lang <> 'en' AND trim(text) <> ''")
 def mt_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Block by block; here the blocks that are one chunk."""
-    b = blocks(spark, sf_dir).filter("lang <> 'en'").withColumn("t", X.strip(F.col("text"))).filter("t <> '' and length(t) <= 1575")
-    return b.select("block_id", translator(Stub, 1575)(F.col("t")).alias("text"))
+    """Block by block, long ones in chunks; white space is collapsed, as chunks may be parted anywhere in it."""
+    b = blocks(spark, sf_dir).filter("lang <> 'en'").withColumn("t", X.strip(F.col("text"))).filter("t <> ''")
+    return b.select("block_id", F.regexp_replace(translator(Stub, 1575)(F.col("t")), r"\s+", " ").alias("text"))
 
 
 @query("mt_validate", "SELECT doc_id, ceil(length(text) / 4.0::DOUBLE) > 450 AS too_long FROM documents")

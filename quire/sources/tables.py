@@ -25,8 +25,8 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = d.select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("block_index", "text"))
     page = F.floor(F.col("block_index") / LINES_PER_PAGE).cast("int") + 1
     return lines.select(
-        (F.col("doc_id") * 100000 + F.col("block_index")).alias("block_id"),
-        (F.col("doc_id") * 10000 + page).alias("page_id"),
+        (F.col("doc_id") * 100000000 + F.col("block_index")).alias("block_id"),
+        (F.col("doc_id") * 10000000 + page).alias("page_id"),
         "doc_id",
         page.alias("page_number"),
         "block_index",
@@ -43,7 +43,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbers = F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / LINES_PER_PAGE).cast("int"))
     p = d.select("doc_id", "lang", F.explode(F.transform(numbers, lambda n: F.struct((n + 1).alias("page_number"), F.slice("lines", n * LINES_PER_PAGE + 1, LINES_PER_PAGE).alias("part")))).alias("x"))
     return p.select(
-        (F.col("doc_id") * 10000 + F.col("x.page_number")).alias("page_id"),
+        (F.col("doc_id") * 10000000 + F.col("x.page_number")).alias("page_id"),
         "doc_id",
         F.col("x.page_number").alias("page_number"),
         "lang",
@@ -66,7 +66,7 @@ VIEWS = """
 d AS (SELECT doc_id, text, lang, source, sha256(text) AS content_hash, octet_length(encode(text)) AS byte_size FROM documents),
 lines AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS text,
                  CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS block_index FROM documents),
-b AS (SELECT doc_id * 100000 + block_index AS block_id, doc_id * 10000 + block_index // 10 + 1 AS page_id, doc_id,
+b AS (SELECT doc_id * 100000000 + block_index AS block_id, doc_id * 10000000 + block_index // 10 + 1 AS page_id, doc_id,
              CAST(block_index // 10 + 1 AS INTEGER) AS page_number, block_index,
              CASE WHEN block_index = 0 THEN 'Title' ELSE 'Text' END AS category, lang, text FROM lines),
 p AS (SELECT page_id, doc_id, page_number, any_value(lang) AS lang, string_agg(text, chr(10) ORDER BY block_index) AS markdown

@@ -11,8 +11,10 @@ from quire.catalog import query
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is named, as in tests."""
+    """The cluster's shared folder; a local one only where none is named and all runs in one process, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{shared}/quire-stream" if shared else "file://" + tempfile.mkdtemp(prefix="quire-stream-")
 
 
