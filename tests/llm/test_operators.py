@@ -568,7 +568,9 @@ def test_a_line_of_a_passage_hides_no_passages(spark, length):
     out = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     got = {(r.doc_id, r.first_word, r.last_word) for r in out}
     want = {(3 * g + 1, 30, 29 + length) for g in range(100)} | {(3 * g + 2, 10, 9 + length) for g in range(100)}
-    assert {d for d, _, _ in got} == {d for d, _, _ in want} and len(want & got) >= 0.98 * len(want)
+    # a line with a few words of its own around it can be similar enough to be a passage with edits, which then is wider
+    assert {d for d, _, _ in want} <= {d for d, _, _ in got} and len(want & got) >= 0.98 * len(want)
+    assert len({d for d, _, _ in got} - {d for d, _, _ in want}) <= 2
 
 
 def test_exact_passages_are_as_by_all_pairs(spark):
