@@ -27,7 +27,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +35,6 @@ from pyspark.sql.window import Window
 
 from quire.llm.common import attach, batch_rows, keyed, likely, table, written
 from quire.llm.components import components
-from quire.llm.simhash import words_of
 from quire.llm.toxicity import segments
 
 SHINGLE = 5
@@ -60,25 +58,44 @@ _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E377
 _LOW = np.uint64(0xFFFF)
 
 
-class _WordHashes(dict):
-    """Hashes of words, remembered up to a number."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 0)
-        return h
-
-
-_WORDS = _WordHashes()
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number, and of its inverse, modulo 2 ** 64."""
+    m, one = int(_MULTIPLIERS[3]), np.ones(1, dtype=np.uint64)
+    return tuple(np.multiply.accumulate(np.concatenate([one, np.full(n - 1, x, dtype=np.uint64)])) for x in (m, pow(m, -1, 1 << 64)))
+
+
+#: Bytes that are hashed together, about; a longer word is hashed whole.
+PIECE = 1 << 16
+_POWERS = _powers(2 * PIECE)
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A hash of each word, A-Z lower-cased: the sum of its bytes over powers of an odd number, from the word's first byte on."""
+    raw = np.frombuffer((text or "").encode().lower(), dtype=np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[raw], [True]])))
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        at = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, at + PIECE, "right")))
+        n = int(ends[j - 1] - at)
+        up, down = _POWERS if n < len(_POWERS[0]) else _powers(n + 1)
+        # one more than the byte, so that zero bytes count
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((raw[at : at + n].astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+        out[i:j] = (sums[ends[i:j] - at] - sums[starts[i:j] - at]) * down[starts[i:j] - at]
+        i = j
+    return out
 
 
 def shingles(text: str | None) -> np.ndarray:
     """Hashes of the shingles, each a polynomial of its words' hashes; none for fewer than LEAST_WORDS words."""
-    words = words_of(text)
-    if len(words) < LEAST_WORDS:
+    w = word_hashes(text)
+    if len(w) < LEAST_WORDS:
         return np.zeros(0, dtype=np.uint64)
-    w = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
+    w = mixed(w, 1)
     n = len(w) - SHINGLE + 1
     h = w[:n].copy()
     for k in range(1, SHINGLE):
@@ -88,9 +105,7 @@ def shingles(text: str | None) -> np.ndarray:
 
 def range_hashes(h: np.ndarray, least: int = LEAST_SHINGLES) -> np.ndarray:
     """The hash of each range of `least` shingles, by sums over powers of an odd number and of its inverse."""
-    m = int(_MULTIPLIERS[3])
-    one = np.ones(1, dtype=np.uint64)
-    up, down = (np.multiply.accumulate(np.concatenate([one, np.full(len(h) - 1, x, dtype=np.uint64)])) for x in (m, pow(m, -1, 1 << 64)))
+    up, down = (x[: len(h)] for x in (_POWERS if len(h) <= len(_POWERS[0]) else _powers(len(h))))
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.add.accumulate(h * up)])
     n = len(h) - least + 1
     return mixed((sums[least:] - sums[:n]) * down[:n], 3)
@@ -382,7 +397,10 @@ def _walk(shared: np.ndarray, least: int, test: Callable[[int, int], bool], enou
     parts them, though both with the gap may still be such a stretch. So all segments are one stretch first; what fails
     is parted at its widest gap. Stretches with fewer than `enough` shared shingles are left, as their parts have no more.
     """
-    parts = segments(np.where(shared, 1.0, -4.0).tolist())
+    # each run of equal items is one item of their sum, which leaves the segments what they are
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(shared)) + 1, [len(shared)]])
+    found = segments((np.diff(edges) * np.where(shared[edges[:-1]], 1.0, -4.0)).tolist()) if len(shared) else []
+    parts = [(int(edges[s]), int(edges[e])) for s, e, _ in found]
     count = np.concatenate([[0], np.cumsum(shared)])
     work = [(0, len(parts))] if parts else []
     while work:
@@ -478,20 +496,36 @@ def _stretches(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     per_doc = parts.groupBy("doc", "part").agg(F.collect_set(F.struct("lo", "hi", "n")).alias("spans"))
     met = texts.dropna().join(per_doc.hint("merge"), "doc")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, text, spans in zip(b["doc"], b["text"], b["spans"], strict=True):
+            lists = b.column("spans")
+            lo, hi, n = (lists.flatten().field(k).to_numpy() for k in ("lo", "hi", "n"))
+            ends = np.cumsum(lists.value_lengths().to_numpy()).tolist()
+            out: list[tuple[int, int, int, int, int, np.ndarray]] = []
+            size = start = 0
+            for doc, text, end in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), ends, strict=True):
                 h = shingles(text)
-                for at in range(0, len(spans), 200):
-                    out = []
-                    for x in spans[at : at + 200]:
-                        part = (h[x["lo"] : x["hi"]] >> np.uint64(32)).astype(np.uint32)
-                        digest = xxhash.xxh64_intdigest(h[x["lo"] : x["hi"]].tobytes()) - (1 << 63)
-                        out.append(({"doc": doc, "lo": x["lo"], "hi": x["hi"]}, x["n"], digest, part.view(np.int32)))
-                    yield pd.DataFrame(out, columns=["side", "n", "digest", "h"])
+                short = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                for p, q, k in zip(lo[start:end].tolist(), hi[start:end].tolist(), n[start:end].tolist(), strict=True):
+                    out.append((doc, p, q, k, xxhash.xxh64_intdigest(h[p:q]) - (1 << 63), short[p:q]))
+                    size += q - p
+                    if size > SLICE_SHINGLES:
+                        yield _sides(out)
+                        out, size = [], 0
+                start = end
+            if out:
+                yield _sides(out)
 
     with batch_rows(docs.sparkSession):
-        return written(met.mapInPandas(run, "side struct<doc:long,lo:long,hi:long>, n long, digest long, h array<int>"), "stretches")
+        return written(met.mapInArrow(run, "side struct<doc:long,lo:long,hi:long>, n long, digest long, h array<int>"), "stretches")
+
+
+def _sides(rows: list[tuple[int, int, int, int, int, np.ndarray]]) -> pa.RecordBatch:
+    doc, lo, hi, n, digest, h = zip(*rows, strict=True)
+    side = pa.StructArray.from_arrays([pa.array(v, pa.int64()) for v in (doc, lo, hi)], names=["doc", "lo", "hi"])
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in h])]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(h)))
+    return pa.RecordBatch.from_arrays([side, pa.array(n, pa.int64()), pa.array(digest, pa.int64()), lists], names=["side", "n", "digest", "h"])
 
 
 def _once(parts: DataFrame) -> DataFrame:
@@ -554,15 +588,22 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     full = attach(first, heavy, "side", "n")
     flat = full.select(F.col("x.doc").alias("a"), F.col("side.doc").alias("b"), F.col("x.lo").alias("lo_a"), F.col("side.lo").alias("lo_b"), "hx", F.col("h").alias("hy"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
+            x, y = (np.split(c.flatten().to_numpy(), np.cumsum(c.value_lengths().to_numpy())[:-1]) for c in (t.column("hx"), t.column("hy")))
+            ids = [t.column(k).to_pylist() for k in ("a", "b", "lo_a", "lo_b")]
             out = []
-            for r in t.itertuples(index=False):
-                out += [(r.a, r.b, r.lo_a + p, r.lo_a + q, r.lo_b + s, r.lo_b + e, j) for p, q, s, e, j in compare(np.asarray(r.hx), np.asarray(r.hy))]
-            yield pd.DataFrame(out, columns=["a", "b", "start_a", "end_a", "start_b", "end_b", "similarity"])
+            for i, j, lo_a, lo_b, hx, hy in zip(*ids, x, y, strict=True):
+                out += [(i, j, lo_a + p, lo_a + q, lo_b + s, lo_b + e, z) for p, q, s, e, z in compare(hx, hy)]
+            if out:
+                columns = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v, pa.float64() if k == "similarity" else pa.int64()) for k, v in zip(names, columns, strict=True)], names=names
+                )
 
+    names = ["a", "b", "start_a", "end_a", "start_b", "end_b", "similarity"]
     with batch_rows(docs.sparkSession):
-        near = written(flat.mapInPandas(run, "a long, b long, start_a long, end_a long, start_b long, end_b long, similarity double"), "near")
+        near = written(flat.mapInArrow(run, "a long, b long, start_a long, end_a long, start_b long, end_b long, similarity double"), "near")
     words = lambda k: (F.col(k) + SHINGLE - 1).alias(k)
     return equal.unionByName(near).select("a", "b", "start_a", words("end_a"), "start_b", words("end_b"), "similarity")
 
