@@ -418,24 +418,27 @@ def compare(a: np.ndarray, b: np.ndarray, least: int = LEAST_SHINGLES, similarit
     if len(a) == len(b) and (a == b).all():
         return [(0, len(a), 0, len(b), 1.0)] if len(a) >= least else []
     out: list[tuple[int, int, int, int, float]] = []
-    shared = np.isin(b, a)
+    # shingles as small numbers, so that sets of them are arrays of flags
+    different, ids = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, size = ids[: len(a)], ids[len(a) :], len(different)
+    one, two = _flags(x, size), _flags(y, size)
+    shared, known = one[y], two[x]
 
     def test(s: int, e: int) -> bool:
-        found = _matched(a, b, s, e, least, similarity)
+        found = _matched(x, y, size, s, e, least, similarity)
         out.extend(found)
         return bool(found)
 
     _walk(shared, least, test)
     # two passages with a gap between may be one stretch here and apart there: then each unbroken run for itself
     for p, q in _unbroken(shared, 0, len(b)):
-        if q - p >= least and not any(x[2] <= p and q <= x[3] for x in out):
+        if q - p >= least and not any(v[2] <= p and q <= v[3] for v in out):
             test(p, q)
     # what is one stretch on one side only, as where passages overlap, holds equal ranges all the same
-    known = np.isin(a, b)
-    if any(q - p >= least and not any(x[k] <= p and q <= x[k + 1] for x in out) for k, of in ((2, shared), (0, known)) for p, q in _unbroken(of, 0, len(of))):
+    if any(q - p >= least and not any(v[k] <= p and q <= v[k + 1] for v in out) for k, of in ((2, shared), (0, known)) for p, q in _unbroken(of, 0, len(of))):
         out += _equal_ranges(a, b, least, out)
     if not out and min(len(a), len(b)) >= least:
-        j = _jaccard(a, b)
+        j = _jaccard(one, two)
         out = [(0, len(a), 0, len(b), j)] if j >= similarity else []
     return out
 
@@ -462,24 +465,28 @@ def _equal_ranges(a: np.ndarray, b: np.ndarray, least: int, held: list[tuple[int
     return sorted(out)
 
 
-def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    one, two = set(a.tolist()), set(b.tolist())
-    return len(one & two) / max(1, len(one | two))
+def _flags(ids: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(size, dtype=bool)
+    out[ids] = True
+    return out
+
+
+def _jaccard(one: np.ndarray, two: np.ndarray) -> float:
+    return int(np.count_nonzero(one & two)) / max(1, int(np.count_nonzero(one | two)))
 
 
-def _matched(a: np.ndarray, b: np.ndarray, s: int, e: int, least: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
-    """All stretches of a that are similar enough to b[s:e]: a may hold the passage several times."""
+def _matched(x: np.ndarray, y: np.ndarray, size: int, s: int, e: int, least: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
+    """All stretches of x that are similar enough to y[s:e], both of numbers below `size`: x may hold the passage several times."""
     out: list[tuple[int, int, int, int, float]] = []
-    two = set(b[s:e].tolist())
+    two = _flags(y[s:e], size)
 
     def test(p: int, q: int) -> bool:
-        one = set(a[p:q].tolist())
-        j = len(one & two) / max(1, len(one | two))
+        j = _jaccard(_flags(x[p:q], size), two)
         if j >= similarity:
             out.append((p, q, s, e, j))
         return j >= similarity
 
-    _walk(np.isin(a, b[s:e]), least, test, similarity * len(two))
+    _walk(two[x], least, test, similarity * int(np.count_nonzero(two)))
     return out
 
 
