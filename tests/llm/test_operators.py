@@ -507,6 +507,17 @@ def test_compact_windows_hold_every_long_range():
     assert len(c) < 4 * 20000 / 46 and set(np.searchsorted(ends, c, "right").tolist()) == {1, 2}
 
 
+def test_words_have_hashes_of_their_own():
+    long = "x" * (substring_dedup.PIECE * 3)
+    texts = [None, "", " \t", "a", " a  b\tC\x0bc\x0cD d\x1c e\r\nf ", "a\x00 a \x00a", "\u0130 I i \u00e9 e", f"{long} b {long}y b {long}", "one two three " * 20_000]
+    seen: dict[bytes, int] = {}
+    for text in texts:
+        words, hashes = (text or "").encode().lower().split(), substring_dedup.word_hashes(text).tolist()
+        assert len(words) == len(hashes)
+        assert all(seen.setdefault(w, h) == h for w, h in zip(words, hashes, strict=True))
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_equal_ranges_have_equal_hashes():
     rng = np.random.default_rng(5)
     x = rng.integers(0, 1 << 62, 500).astype(np.uint64) * np.uint64(3)
