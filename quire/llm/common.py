@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ ROW_BITS = 1 << 16
 
 _written: list[tuple[SparkSession, str]] = []
 _local: list[str] = []
+#: The folders of the tables that the innermost settled() has seen written so far.
+_own: ContextVar[list[str] | None] = ContextVar("own", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +53,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     path = f"{work_dir(spark)}/quire-{uuid.uuid4().hex}/{name}"
     if not _written:
         atexit.register(_clear)
-    _written.append((spark, path.rpartition("/")[0]))
+    folder = path.rpartition("/")[0]
+    _written.append((spark, folder))
+    if (own := _own.get()) is not None:
+        own.append(folder)
     return path
 
 
@@ -69,23 +75,52 @@ def _clear() -> None:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, and lost executors cost no recomputation of it."""
+    """df as a table in the shared folder: lineage ends there, and lost executors cost no recomputation of it.
+
+    The shuffle files behind it go at once, not when the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with _held(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() returns, as a table; the tables that were written for it are removed, so nothing else may read them."""
+    token = _own.set(own := [])
+    try:
+        out = written(make(), name)
+    finally:
+        _own.reset(token)
+    spark = out.sparkSession
+    for folder in own[:-1]:
+        remove(spark, folder)
+        _written.remove((spark, folder))
+    if (outer := _own.get()) is not None:
+        outer.append(own[-1])
+    return out
+
+
 @contextmanager
-def batch_rows(spark: SparkSession, rows: int = PYTHON_ROWS) -> Iterator[None]:
-    """Rows in a batch that goes to Python, for what is executed inside; the session's own number holds again after."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def _held(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The setting for what is executed inside; the session's own holds again after."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int = PYTHON_ROWS) -> Iterator[None]:
+    """Rows in a batch that goes to Python, for what is executed inside; the session's own number holds again after."""
+    with _held(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)):
+        yield
 
 
 def ascii_lower(text: Column) -> Column:
@@ -188,7 +223,9 @@ def without(docs: DataFrame, keys: list[Column], drop: DataFrame, once: bool = F
         return packed.join(gone, "key", "left_anti").dropDuplicates(["key"]).select("row.*")
     marked = _marked(packed, "key", gone)
     kept = marked.filter("not _hit").select("row")
-    return kept.unionByName(marked.filter("_hit").join(gone, "key", "left_anti").select("row")).select("row.*")
+    # no anti join: Spark would move it below the filter, and all rows would be shuffled
+    met = marked.filter("_hit").join(gone.withColumn("_gone", F.lit(True)), "key", "left").filter("_gone is null")
+    return kept.unionByName(met.select("row")).select("row.*")
 
 
 def numbered(rows: DataFrame, classes: list[str], order: list[str], name: str, buckets: int = NUMBERING_BUCKETS) -> DataFrame:

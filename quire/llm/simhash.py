@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import attach, batch_rows, keyed, likely, table, without, written
+from quire.llm.common import attach, batch_rows, keyed, likely, settled, table, without, written
 from quire.llm.components import components
 
 SEED = 42
@@ -283,13 +283,21 @@ def verified_pairs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     prints = written(rows.groupBy("table", "fp").agg(F.min_by("doc_id", F.xxhash64("doc_id", "table")).alias("rep"), F.count(F.lit(1)).alias("size")), "prints")
     sets = prints.filter(F.col("table") < TABLES)
     most = sets.groupBy("table").count().agg(F.max("count")).first()[0] or 0
-    near = links(sets.select("fp", "table"), most, SET_THRESHOLD, SET_BITS, ("table",))
     side = lambda k, rep: sets.select("table", F.col("fp").alias(k), F.col("rep").alias(rep))
-    near = near.join(side("a", "x"), ["table", "a"]).join(side("b", "y"), ["table", "b"]).select("x", "y")
+
+    def linked() -> DataFrame:
+        # written before their ends are looked up: the shuffle of all replicas is gone by then
+        near = written(links(sets.select("fp", "table"), most, SET_THRESHOLD, SET_BITS, ("table",)), "links")
+        return near.join(side("a", "x"), ["table", "a"]).join(side("b", "y"), ["table", "b"]).select("x", "y")
+
     keyed = F.struct("table", "fp").alias("key")
-    same = attach(written(rows.select(keyed, "doc_id"), "same"), written(prints.filter("size > 1").select(keyed, "rep", "size"), "reps"), "key", "size").select("key", F.col("rep").alias("x"), F.col("doc_id").alias("y"))
-    same = written(same.select("key", "x", "y"), "same_pairs")
-    found = written(_similar(docs, near.unionByName(same.select("x", "y")), similarity), "similar")
+
+    def alike() -> DataFrame:
+        reps = written(prints.filter("size > 1").select(keyed, "rep", "size"), "reps")
+        return attach(written(rows.select(keyed, "doc_id"), "same"), reps, "key", "size").select("key", F.col("rep").alias("x"), F.col("doc_id").alias("y"))
+
+    near, same = settled(linked, "near"), settled(alike, "same_pairs")
+    found = settled(lambda: _similar(docs, near.unionByName(same.select("x", "y")), similarity), "similar")
     # members unlike the one they were compared with: their group, less those that are like it, by one more key
     like = found.select("x", "y").unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y")))
     unlike = same.filter("x <> y").join(like, ["x", "y"], "left_anti").select("key", F.col("y").alias("doc_id"))
@@ -322,12 +330,15 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     equal rows stay or go together. An empty table gives no rows; other columns may have any names.
     """
     rows, several = keyed(docs)
-    pairs = verified_pairs(rows, similarity).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    groups = components(written(pairs, "near"))
-    drop = groups.filter("id <> component").select(F.col("id").alias("_key"))
+
+    def others() -> DataFrame:
+        pairs = settled(lambda: verified_pairs(rows, similarity).select(F.col("x").alias("a"), F.col("y").alias("b")), "near")
+        return components(pairs).filter("id <> component").select(F.col("id").alias("_key"))
+
+    drop = settled(others, "drop")
     doc_id = F.col("doc_id").cast("long")
     if not several:
         return without(docs, [F.coalesce(doc_id, F.xxhash64(doc_id, F.col("text").cast("string")))], drop)
     text = F.xxhash64(F.col("text").cast("string"), F.length("text"))
-    drop = rows.join(written(drop, "drop"), "_key", "left_semi").select("doc_id", F.xxhash64("text", F.length("text")))
+    drop = rows.join(drop, "_key", "left_semi").select("doc_id", F.xxhash64("text", F.length("text")))
     return without(docs, [doc_id, text], drop)

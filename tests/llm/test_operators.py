@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quire.llm import components, decontamination, exact_dedup, licenses, packing, sharding, simhash, substring_dedup, toxicity, url_filter, warc
+from quire.llm import common, components, decontamination, exact_dedup, licenses, packing, sharding, simhash, substring_dedup, toxicity, url_filter, warc
 
 ALPHABET = "al be co du en fi go hu in jo ka li mo nu ox pa qi ro su te".split()
 
@@ -185,6 +186,49 @@ def test_near_copies_are_found_in_numbers(spark):
     assert len(kept) >= len(rows) - 400
 
 
+def shuffle_files(spark):
+    """Bytes of each."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName(): f.length() for f in map(files.apply, range(files.size())) if f.getName().startswith("shuffle_")}
+
+
+def test_near_dedup_gives_its_disk_back(docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "work_dir", lambda spark: f"file://{tmp_path}")
+    out = simhash.deduplicated(docs)
+    names = [p.name for p in tmp_path.glob("*/*")]
+    # of all tables that it writes, those that the result reads
+    assert out.count() and set(names) <= {"several", "drop", "gone", "filter"} and len(names) == len(set(names))
+
+
+def test_written_tables_leave_no_shuffle_files(docs, spark):
+    before = shuffle_files(spark)
+    counts = common.written(docs.groupBy("text").count(), "counts")
+    for _ in range(20):  # they are removed beside what runs
+        if not (left := shuffle_files(spark).keys() - before):
+            break
+        time.sleep(0.1)
+    assert not left and counts.count()
+
+
+def test_rows_that_stay_are_not_shuffled(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i if i % 7 else None, f"{i} {rng.randbytes(4000).hex()}") for i in range(400)]
+    docs = common.written(spark.createDataFrame(rows, "doc_id long, text string"), "docs")
+    key, text = F.col("doc_id"), F.sha2("text", 256)
+    drop = docs.filter(F.col("text").startswith("7") | F.col("doc_id").isin(3, 5)).select(key, text)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = common.without(docs, [key, text], drop)
+        before = shuffle_files(spark)
+        out.write.parquet(f"file://{tmp_path}/out")
+        moved = sum(n for name, n in shuffle_files(spark).items() if name not in before)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    left = spark.read.parquet(f"file://{tmp_path}/out").collect()
+    assert sorted(r.text for r in left) == sorted(t for d, t in rows if not t.startswith("7") and d not in (3, 5))
+    assert moved < 0.1 * sum(len(t) / 2 for _, t in rows)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randint(0, 120), rng.randint(0, 120)) for _ in range(70)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5), (None, 3)]
