@@ -18,6 +18,16 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{shared}/quire-stream" if shared else "file://" + tempfile.mkdtemp(prefix="quire-stream-")
 
 
+def arrivals(spark: SparkSession, sf_dir: str, name: str, **options: object) -> DataFrame:
+    """A table's files as a stream. The table is a folder, or one file, which a stream finds in the folder above."""
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).options(**options)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def unique_contents(stream: DataFrame) -> DataFrame:
     """(doc_id, content_hash) of the first arrival of each content; the state keeps hashes only."""
     return stream.select("doc_id", F.sha2("text", 256).alias("content_hash")).dropDuplicates(["content_hash"])
@@ -27,8 +37,7 @@ def run_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
+    stream = arrivals(spark, sf_dir, "documents", maxFilesPerTrigger=1)
     sink = unique_contents(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     q = sink.start()
     q.awaitTermination()
@@ -52,8 +61,7 @@ def base_stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = arrivals(spark, sf_dir, "events")
     counts = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day").alias("w"), "event_type").count()
 
     def write(batch: DataFrame, number: int) -> None:

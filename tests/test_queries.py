@@ -44,6 +44,16 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(tuple(plain(r[c]) for c in columns) for r in got.collect()) == theirs
 
 
+@pytest.mark.parametrize(("name", "read"), [("stream_ingest", "documents"), ("base_stream_tumbling", "events")])
+def test_streams_read_tables_of_several_files(spark, duck, tmp_path, name, read):
+    spark.read.parquet(f"{SF}/{read}.parquet").repartition(3).write.parquet(f"file://{tmp_path}/{read}.parquet")
+    want = duck.execute(catalog.SQL[name])
+    columns = [d[0] for d in want.description]
+    theirs = sorted(tuple(plain(v) for v in r) for r in want.fetchall())
+    assert theirs
+    assert sorted(tuple(plain(r[c]) for c in columns) for r in catalog.QUERIES[name](spark, f"file://{tmp_path}").collect()) == theirs
+
+
 def test_queries_without_sql_run(spark):
     for name in sorted(set(catalog.QUERIES) - set(catalog.SQL)):
         assert catalog.QUERIES[name](spark, SF).count() > 0
