@@ -181,7 +181,8 @@ def links(prints: DataFrame, n: int, threshold: int = 2, bits: int = 64, keep: t
     replica = _emit(prints, blocks, threshold, list(keep)).withColumnRenamed("fp", "b")
     mask = F.lit(-1 if bits == 64 else (1 << bits) - 1).cast("long")
     differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(mask))
-    return home.join(replica, on).filter((F.col("a") < F.col("b")) & (differ <= threshold)).select(*keep, "a", "b")
+    # Spark sizes what comes from Python by its input, so it would broadcast the replicas of a small table of fingerprints
+    return home.join(replica.hint("merge"), on).filter((F.col("a") < F.col("b")) & (differ <= threshold)).select(*keep, "a", "b")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, threshold: int = 2, seed: int = SEED) -> DataFrame:

@@ -91,6 +91,13 @@ def test_anchors_lose_no_link(blocks):
             assert len(set(found.tolist())) == len(found)
 
 
+def test_replicas_are_not_broadcast(spark):
+    prints = spark.range(50).select(F.col("id").alias("fp"))
+    found = simhash.links(prints, 50)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert {(r.a, r.b) for r in found.collect()} == {(a, b) for a in range(50) for b in range(a + 1, 50) if (a ^ b).bit_count() <= 2}
+
+
 def test_simhash_is_as_by_brute_force(docs):
     data = corpus()
     prints = [plain_fingerprint(t) for _, t in data]
