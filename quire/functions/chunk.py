@@ -1,6 +1,6 @@
 """Cutting texts into chunks of a limited length: whole paragraphs, else sentences, else words, else slices.
 
-Filling is greedy and sequential within one text, so it stays within a row: an Arrow function over batches of texts.
+Filling is greedy and sequential within one text, so it stays within a row: a Python function of one text.
 """
 
 from __future__ import annotations
@@ -8,7 +8,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,11 +54,8 @@ def chunks_of(text: str | None, limit: int) -> list[str]:
 
 
 def chunks(text: Column, limit: Column) -> Column:
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series, limits: pd.Series) -> pd.Series:
-        return pd.Series([chunks_of(t, int(n)) for t, n in zip(texts, limits, strict=True)])
-
-    return run(text, limit)
+    """By rows and not by Arrow batches: a worker holds a hundred texts at a time, where a batch of long ones has no bound."""
+    return F.udf(chunks_of, "array<string>", useArrow=False)(text, limit)
 
 
 def batches(items: Column, size: int) -> Column:

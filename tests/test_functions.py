@@ -42,6 +42,12 @@ def test_chunks_by_level():
         chunk.chunks_of("x", 0)
 
 
+def test_chunks_are_not_cut_by_whole_batches(spark):
+    cut = spark.range(3).select(chunk.chunks(F.repeat(F.lit("ab cd\n\n"), F.col("id").cast("int")), F.lit(8)).alias("c"))
+    assert [r.c for r in cut.collect()] == [[], ["ab cd"], ["ab cd", "ab cd"]]
+    assert "ArrowEvalPython" not in cut._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sentences_split_like_python(spark):
     texts = ["A b. C d! e? F\nG  h.", "Fin. École. Il.", "x. Привет. Ō. 1. Z", "", " . A", "end.  "]
     d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.sentences(F.col("t")).alias("s"))
